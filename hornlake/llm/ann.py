@@ -121,7 +121,7 @@ def recall_of(vectors: np.ndarray, queries: int, hashes: Hashes, k: int) -> floa
         far[i] = np.inf
         true = np.argsort(far, kind="stable")[: min(k, len(vectors) - 1)].tolist()
         hits, total = hits + len(found[i] & set(true)), total + len(true)
-    return hits / max(1, total)
+    return hits / total if total else 1.0
 
 
 def fit(sample: np.ndarray, k: int, aim: float = AIM) -> Hashes:

@@ -35,7 +35,7 @@ ALLOWED = [
     r"(?i)abcdefgh|01234567|12345678|qwerty|example|sample|placeholder|changeme|dummy|xxxx",
 ]
 
-_TERMS = [0.0] + [k * log2(k) for k in range(1, WINDOW + 1)]
+_TERMS = [0.0] + [k * log2(k) for k in range(1, WINDOW + 2)]
 
 
 def _split_matches(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -64,7 +64,7 @@ def greatest_entropy(word: Column, window: int = WINDOW) -> Column:
     State: a count for each character code and the sum of k log2 k over the counts; a step changes two counts.
     """
     codes = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.ascii(c))
-    term = F.array(*[F.lit(x) for x in _TERMS[: window + 1]])
+    term = F.array(*[F.lit(x) for x in _TERMS[: window + 2]])
 
     def bump(state: Column, code: Column, by: int) -> Column:
         k = F.get(state["counts"], code)
@@ -73,14 +73,11 @@ def greatest_entropy(word: Column, window: int = WINDOW) -> Column:
 
     def step(state: Column, x: Column) -> Column:
         grown = bump(state, x["into"], 1)
-        slid = F.when(x["out"].isNull(), grown).otherwise(bump(_when_out(grown), F.coalesce(x["out"], F.lit(0)), -1))
+        slid = F.when(x["out"].isNull(), grown).otherwise(bump(grown, F.coalesce(x["out"], F.lit(0)), -1))
         seen = F.lit(log2(window)) - slid["sum"] / window
         best = F.when(x["full"], F.greatest(slid["best"], seen)).otherwise(slid["best"])
         return F.struct(slid["counts"].alias("counts"), slid["sum"].alias("sum"), best.alias("best"))
 
-    def _when_out(state: Column) -> Column:
-        return state
-
     steps = F.transform(codes, lambda c, i: F.struct(c.alias("into"), F.when(i >= window, F.get(codes, i - window)).alias("out"), (i >= window - 1).alias("full")))
     start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
     return F.aggregate(steps, start, step, lambda s: s["best"])

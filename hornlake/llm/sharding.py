@@ -56,12 +56,12 @@ class _Starts:
 
 def minimax_cuts(starts: DataFrame, total: int, largest: int, shards: int, table_rows: int = TABLE_ROWS) -> list[int]:
     """The ends of the first shards - 1 shards, as group starts; `starts` has a column `start` of distinct group starts."""
-    windows, blocks = [(0, total)], []
+    windows, blocks, width = [(0, total)], [], 2 * total
     while True:
         inside = F.lit(False)
         for a, b in windows:
             inside = inside | F.col("start").between(a, b)
-        width = max(1, sum(b - a + 1 for a, b in windows) // table_rows)
+        width = max(1, min(width // 2, sum(b - a + 1 for a, b in windows) // table_rows))  # finer each time
         rows = starts.filter(inside).groupBy(F.floor(F.col("start") / F.lit(width)).alias("block")).agg(F.min("start").alias("a"), F.max("start").alias("b")).collect()
         kept = [x for x in blocks if not any(a <= x[0] <= b or a <= x[1] <= b or x[0] <= a <= x[1] for a, b in windows)]
         blocks = sorted({*kept, *((r["a"], r["b"]) for r in rows)})

@@ -76,6 +76,14 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `df` has it; names are compared without case, as Spark does."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def without_white(column: Column) -> Column:
     return F.translate(column, WHITE, "")
 

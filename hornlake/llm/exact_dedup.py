@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_counted, stage, text_of, without_white
+from .common import fresh, join_counted, stage, text_of, without_white
 
 
 def _hash128(norm: Column) -> Column:
@@ -53,16 +53,17 @@ def keep_rows(docs: DataFrame, keepers: DataFrame, keys: list[str]) -> DataFrame
     right = keepers.toDF(*same)
     on = [docs[k].eqNullSafe(right[s]) for k, s in zip(keys, same, strict=True)]
     met = docs.join(right, on, "left_semi")
-    first = Window.partitionBy(*keys).orderBy(keys[0])
-    return met.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    first, n = Window.partitionBy(*keys).orderBy(keys[0]), fresh(docs, "__n")
+    return met.withColumn(n, F.row_number().over(first)).filter(F.col(n) == 1).drop(n)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """One row of each class, with all columns of `docs`."""
     norm = without_white(text_of())
-    keyed = docs.withColumns({"__sig": _hash128(norm), "__chars": F.char_length(text_of())})
+    sig, chars = fresh(docs, "__sig"), fresh(docs, "__chars")
+    keyed = docs.withColumns({sig: _hash128(norm), chars: F.char_length(text_of())})
     keepers = classes(docs).select("keep_id", "sig", "best_chars")
-    return keep_rows(keyed, keepers, ["doc_id", "__sig", "__chars"]).drop("__sig", "__chars")
+    return keep_rows(keyed, keepers, ["doc_id", sig, chars]).drop(sig, chars)
 
 
 ORACLE_SQL = r"""

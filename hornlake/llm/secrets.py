@@ -13,7 +13,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import fresh, text_of
 
 #: The base patterns, which spans follow them in this order, and the least lengths.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -125,7 +125,11 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 
 def mask_documents(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
-    """All rows and columns of `docs`, each span in the text replaced by `mark`; overlapping spans become one mark."""
+    """All rows and columns of `docs`, each span in the text replaced by `mark`; overlapping spans become one mark.
+
+    Null texts stay null.
+    """
+    spans = fresh(docs, "__spans")
 
     def step(state: Column, s: Column) -> Column:
         at = F.greatest(state["at"], s["end"])
@@ -134,6 +138,5 @@ def mask_documents(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     rest = lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"].cast("int") + 1, F.char_length("text")))
-    spans = docs.withColumn("__spans", find_spans(text_of()))
-    masked = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, step, rest)).otherwise(F.col("text"))
-    return spans.withColumn("text", masked).drop("__spans").select(*docs.columns)
+    masked = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(F.col("text"))
+    return docs.withColumn(spans, find_spans(text_of())).withColumn("text", masked).drop(spans)

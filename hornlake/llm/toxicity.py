@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import stage, unstage
 
@@ -253,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Mode
     return Model(lexicon, trees, isotonic(trees.margin(x[use]), y[use]))
 
 
-def _scorer(model: Model):
+def _scorer(model: Model, text: str, score: str):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -261,19 +262,21 @@ def _scorer(model: Model):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                scores = model.scores(part.column("text").to_pylist(), features)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, "__score"])
+                scores = model.scores(part.column(text).to_pylist(), features)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, score])
 
     return run
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; null and empty texts are scored as texts without words."""
-    scored = docs.select("doc_id", "text").mapInArrow(_scorer(model), "doc_id long, text string, __score double")
+    scored = docs.select("doc_id", "text").mapInArrow(_scorer(model, "text", "__score"), "doc_id long, text string, __score double")
     return scored.select("doc_id", is_held_out("doc_id").alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows, in all columns of `docs`, whose score is below `least`."""
-    schema = f"{docs.schema.simpleString()[7:-1]},__score:double"
-    return docs.mapInArrow(_scorer(model), schema).filter(F.col("__score") < least).drop("__score")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots don't pass mapInArrow
+    schema = StructType([*plain.schema.fields, StructField("score", DoubleType())])
+    scored = plain.mapInArrow(_scorer(model, plain.columns[docs.columns.index("text")], "score"), schema)
+    return scored.filter(F.col("score") < least).drop("score").toDF(*docs.columns)

@@ -74,6 +74,19 @@ def test_exact_dedup(docs, raw):
     assert sorted(norm(r.text or "") for r in kept.collect()) == sorted(groups)
 
 
+def test_stages_keep_extra_columns_with_clashing_names(docs):
+    names = ["__n", "__score", "__SIG", "__chars", "__k0", "__spans", "all", "node", "key", "score", "a b", "x.y"]
+    odd = docs.withColumns({c: F.lit(c) for c in names})
+    texts = sorted(r.text or "" for r in odd.collect())
+    constant = toxicity.Model({}, None, (np.zeros(1), np.zeros(1)))
+    for stage in (lambda d: toxicity.drop_toxic(d, constant), secrets.mask_documents, exact_dedup.drop_copies, near_dedup.drop_near_copies):
+        got = stage(odd)
+        assert got.columns == odd.columns
+        rows = got.collect()
+        assert rows and all(r["__n"] == "__n" and r["x.y"] == "x.y" and r["__spans"] == "__spans" for r in rows)
+    assert sorted(r.text or "" for r in toxicity.drop_toxic(odd, constant).collect()) == texts
+
+
 @pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
 def test_near_dedup(docs, raw, words, percent):
     sets = {}

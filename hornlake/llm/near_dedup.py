@@ -8,8 +8,9 @@
 4. Pairs pass exact size and sketch bounds, then links are confirmed on full shingle sets.
 5. Components by alternating large and small stars over staged tables.
 6. Closing rounds: buckets that still hold several components get the pairs a star leaves out, between components only:
-   all of them where a bucket has at most SMALL nodes, else a star around the smallest node of another component,
-   until a round links nothing.
+   all of them where a bucket has at most SMALL nodes; a larger one is split by further bins of the sketch into finer
+   buckets that are closed the same way, and it and finer ones that are still larger get a star around the smallest
+   node of another component, until a round links nothing.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .exact_dedup import keep_rows
 BINS, BANDS, ROWS = 128, 25, 5
 #: A bucket of at most so many nodes is closed by testing all its pairs between components.
 SMALL = 64
+#: A larger one is split by each run of so many bins; a link of 0.8 agrees in none of them with probability 5e-8.
+FINE = 4
 #: Sketch agreement below threshold by so much can't come from a link but once in some million (5 sigma).
 SLACK = 0.16
 _SEED = np.random.default_rng(20240607)
@@ -254,21 +257,44 @@ def _stars(buckets: DataFrame, total: int) -> DataFrame:
     return met.filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _left_out(buckets: DataFrame, found: DataFrame, tested: DataFrame) -> DataFrame:
+def _several(member: DataFrame, total: int) -> DataFrame:
+    """The rows (key, node, component) of buckets that hold several components, with c0, the smallest of them, and n."""
+    mixed = member.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 <> c1")
+    return join_counted(member, mixed, ["key"], "n", total, "node").filter("n is not null").drop("c1")
+
+
+def _all_between(few: DataFrame) -> DataFrame:
+    other = few.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
+    return few.select("key", F.col("node").alias("a"), F.col("component").alias("ca")).join(other, "key").filter("a < b and ca <> cb").select("a", "b")
+
+
+def _next_stars(many: DataFrame, total: int) -> DataFrame:
+    next_hub = many.filter("component <> c0").groupBy("key").agg(F.min_by("node", "node").alias("hub"), F.min_by("component", "node").alias("hub_component"), F.first("n").alias("n"))
+    star = join_counted(many.select("key", "node", "component"), next_hub, ["key"], "n", total, "node").filter("component <> hub_component")
+    return star.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+
+
+def _finer(many: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The buckets split by each FINE bins of the sketch in turn: a node is in BINS / FINE finer buckets of its bucket."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(BINS // FINE - 1))).alias("part")
+    met = many.select("key", "node", "component").join(nodes.select("node", "mins"), "node").select("key", "node", "component", "mins", parts)
+    return met.select(F.xxhash64("key", "part", F.expr(f"substring(mins, part * {FINE} + 1, {FINE})")).alias("key"), "node", "component")
+
+
+def _left_out(buckets: DataFrame, nodes: DataFrame, found: DataFrame, tested: DataFrame) -> DataFrame:
     """Pairs (a < b) of different components that share a bucket and were not tested."""
     member = stage(_with_component(buckets, found, "node"), "members")
-    mixed = member.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 <> c1")
     total = member.count()
-    open_ = stage(join_counted(member, mixed, ["key"], "n", total, "node").filter("n is not null").drop("c1"), "open")
+    open_ = stage(_several(member, total), "open")
     unstage(member)
-    few = open_.filter(F.col("n") <= SMALL)
-    other = few.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    pairs = few.select("key", F.col("node").alias("a"), F.col("component").alias("ca")).join(other, "key").filter("a < b and ca <> cb").select("a", "b")
     many = open_.filter(F.col("n") > SMALL)
-    next_hub = many.filter("component <> c0").groupBy("key").agg(F.min_by("node", "node").alias("hub"), F.min_by("component", "node").alias("hub_component"), F.first("n").alias("n"))
-    star = join_counted(many.select("key", "node", "component"), next_hub, ["key"], "n", total, "node").filter("component <> hub_component")
-    star = star.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-    return pairs.union(star).distinct().join(tested, ["a", "b"], "left_anti")
+    pairs = _all_between(open_.filter(F.col("n") <= SMALL)).union(_next_stars(many, total))
+    if not many.isEmpty():
+        finer = stage(_finer(many, nodes), "finer")
+        split = stage(_several(finer, total), "split")
+        unstage(finer)
+        pairs = pairs.union(_all_between(split.filter(F.col("n") <= SMALL))).union(_next_stars(split.filter(F.col("n") > SMALL), total))
+    return pairs.distinct().join(tested, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -293,7 +319,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     edges = copies.union(links)
     found = components(edges)
     while True:
-        more = stage(_left_out(buckets, found, tested), "pairs")
+        more = stage(_left_out(buckets, nodes, found, tested), "pairs")
         if more.isEmpty():
             break
         links = confirm_pairs(more, nodes, docs, words, percent)

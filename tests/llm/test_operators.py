@@ -113,6 +113,18 @@ def test_near_dedup(docs, raw, words, percent):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(component.values()))
 
 
+def test_large_buckets_are_split_by_further_bins(spark):
+    rng, n = np.random.default_rng(5), near_dedup.SMALL + 40
+    mins = [bytes(row) for row in rng.integers(0, 256, (n, near_dedup.BINS), dtype=np.uint8)]
+    mins[90] = mins[70][:100] + mins[90][100:]
+    nodes = spark.createDataFrame([(i, bytearray(m)) for i, m in enumerate(mins)], "node long, mins binary")
+    buckets = spark.createDataFrame([(i, 1) for i in range(n)], "node long, key long")
+    found = spark.createDataFrame([], "node long, component long")
+    tested = spark.createDataFrame([(0, i) for i in range(1, n)], "a long, b long")
+    got = {(r.a, r.b) for r in near_dedup._left_out(buckets, nodes, found, tested).collect()}
+    assert (70, 90) in got and {(1, i) for i in range(2, n)} <= got and len(got) < 3 * n
+
+
 def test_components_of_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in near_dedup.components(edges).collect()}

@@ -7,10 +7,10 @@
    a bucket of m nodes gives m - 1 pairs.
 4. Pairs pass exact size and sketch bounds, then links are confirmed on full shingle sets.
 5. Components by alternating large and small stars over staged tables.
-6. Closing rounds: buckets that still hold several components get the pairs a star leaves out, between components only:
-   all of them where a bucket has at most SMALL nodes; a larger one is split by further bins of the sketch into finer
-   buckets that are closed the same way, and it and finer ones that are still larger get a star around the smallest
-   node of another component, until a round links nothing.
+6. Buckets that still hold several components get a star around the next node and each node's most alike partner of
+   another component.  What is left after that is closed: all pairs of nodes that share a bucket, lie in different
+   components and pass the sketch bound are tested on full sets, a pair of bounded blocks of a bucket in one task, which
+   returns the links that join components.  No bucket is too large for it.
 """
 
 from __future__ import annotations
@@ -18,17 +18,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_counted, stage, unstage
 from .exact_dedup import keep_rows
 
 BINS, BANDS, ROWS = 128, 25, 5
-#: A bucket of at most so many nodes is closed by testing all its pairs between components.
-SMALL = 64
-#: A larger one is split by each run of so many bins; a link of 0.8 agrees in none of them with probability 5e-8.
-FINE = 4
+#: Nodes and shingles of a block of a bucket: the pairs of two blocks are tested in one task.
+SMALL, BLOCK_SHINGLES = 1024, 1 << 20
+#: Sets of so many others, at most, are met with a set one by one.
+FEW = 32
 #: Sketch agreement below threshold by so much can't come from a link but once in some million (5 sigma).
 SLACK = 0.16
 _SEED = np.random.default_rng(20240607)
@@ -257,44 +257,159 @@ def _stars(buckets: DataFrame, total: int) -> DataFrame:
     return met.filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _several(member: DataFrame, total: int) -> DataFrame:
-    """The rows (key, node, component) of buckets that hold several components, with c0, the smallest of them, and n."""
-    mixed = member.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 <> c1")
-    return join_counted(member, mixed, ["key"], "n", total, "node").filter("n is not null").drop("c1")
+def _behind(buckets: DataFrame) -> DataFrame:
+    """The buckets (key, node) without their smallest nodes, whose stars are tested, where several nodes are left."""
+    hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 2")
+    return stage(join_counted(buckets, hubs, ["key"], "n", buckets.count(), "node").filter("hub <> node").select("key", "node"), "behind")
 
 
-def _all_between(few: DataFrame) -> DataFrame:
-    other = few.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    return few.select("key", F.col("node").alias("a"), F.col("component").alias("ca")).join(other, "key").filter("a < b and ca <> cb").select("a", "b")
+def _mixed(rest: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows (key, node, component) of buckets that hold several components."""
+    member = stage(_with_component(rest, found, "node").select("key", "node", "component"), "members")
+    several = member.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 <> c1")
+    mixed = stage(join_counted(member, several, ["key"], "n", member.count(), "node").filter("n is not null").select("key", "node", "component"), "mixed")
+    unstage(member)
+    return mixed
 
 
-def _next_stars(many: DataFrame, total: int) -> DataFrame:
-    next_hub = many.filter("component <> c0").groupBy("key").agg(F.min_by("node", "node").alias("hub"), F.min_by("component", "node").alias("hub_component"), F.first("n").alias("n"))
-    star = join_counted(many.select("key", "node", "component"), next_hub, ["key"], "n", total, "node").filter("component <> hub_component")
-    return star.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+def _blocks(rows: DataFrame, weight: Column) -> DataFrame:
+    """Each row of a bucket once for each pair (lo, hi) of its bucket's blocks that its own block `part` is in."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("weight"))
+    n_parts = F.least("n", F.greatest(F.ceil(F.col("n") / SMALL), F.ceil(F.col("weight") / BLOCK_SHINGLES)))
+    met = join_counted(rows, sizes.select("key", "n", n_parts.alias("parts")), ["key"], "n", rows.count(), "node")
+    dealt = met.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "component")
 
 
-def _finer(many: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The buckets split by each FINE bins of the sketch in turn: a node is in BINS / FINE finer buckets of its bucket."""
-    parts = F.explode(F.sequence(F.lit(0), F.lit(BINS // FINE - 1))).alias("part")
-    met = many.select("key", "node", "component").join(nodes.select("node", "mins"), "node").select("key", "node", "component", "mins", parts)
-    return met.select(F.xxhash64("key", "part", F.expr(f"substring(mins, part * {FINE} + 1, {FINE})")).alias("key"), "node", "component")
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
 
 
-def _left_out(buckets: DataFrame, nodes: DataFrame, found: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs (a < b) of different components that share a bucket and were not tested."""
-    member = stage(_with_component(buckets, found, "node"), "members")
-    total = member.count()
-    open_ = stage(_several(member, total), "open")
-    unstage(member)
-    many = open_.filter(F.col("n") > SMALL)
-    pairs = _all_between(open_.filter(F.col("n") <= SMALL)).union(_next_stars(many, total))
-    if not many.isEmpty():
-        finer = stage(_finer(many, nodes), "finer")
-        split = stage(_several(finer, total), "split")
-        unstage(finer)
-        pairs = pairs.union(_all_between(split.filter(F.col("n") <= SMALL))).union(_next_stars(split.filter(F.col("n") > SMALL), total))
-    return pairs.distinct().join(tested, ["a", "b"], "left_anti")
+def _groups(batches: Iterator) -> Iterator:
+    """A table for each run of rows with the same (key, lo, hi)."""
+    import pyarrow as pa
+
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([np.asarray(batch.column(x)) for x in ("key", "lo", "hi")], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and tuple(keys[lo]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = tuple(keys[lo])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _open_pairs(group, component: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sketch agreement of all pairs of a group's rows, and which of them are of two components and can be links."""
+    mins = np.frombuffer(b"".join(group.column("mins").to_pylist()), np.uint8).reshape(-1, BINS)
+    agree = np.zeros((len(mins), len(mins)), np.uint8)
+    if len(mins) <= FEW:
+        agree += (mins[:, None] == mins).sum(-1, dtype=np.uint8)
+    for lo in range(0, len(mins) if len(mins) > FEW else 0, 128):
+        for column in mins.T.copy():
+            agree[lo : lo + 128] += column[lo : lo + 128, None] == column
+    open_ = (agree >= (percent / 100 - SLACK) * BINS) & (component[:, None] != component)
+    part = np.asarray(group.column("part"))
+    if group.column("lo")[0] != group.column("hi")[0]:
+        open_ &= part[:, None] != part
+    return agree, open_
+
+
+def _alike(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(key, node, other) of each node that can link with nodes of other components in its bucket, and the most alike of them."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for group in _groups(batches):
+            agree, open_ = _open_pairs(group, np.asarray(group.column("component")), percent)
+            some = np.flatnonzero(open_.any(1))
+            if len(some):
+                node, best = np.asarray(group.column("node")), np.where(open_[some], agree[some], 0).argmax(1)
+                yield pa.record_batch([pa.array(x) for x in (np.asarray(group.column("key"))[some], node[some], node[best])], ["key", "node", "other"])
+
+    rows = _blocks(mixed, F.lit(0)).join(nodes.select("node", "mins"), "node")
+    return _grouped(rows).mapInArrow(run, "key long, node long, other long")
+
+
+def _left_out(buckets: DataFrame, nodes: DataFrame, found: DataFrame, tested: DataFrame, percent: int = 80) -> DataFrame:
+    """Pairs (a < b) of different components that share a bucket and were not tested: next stars, and the most alike."""
+    mixed = _mixed(_behind(buckets), found)
+    hubs = mixed.groupBy("key").agg(F.min("node").alias("hub"), F.min_by("component", "node").alias("hub_component"), F.count(F.lit(1)).alias("n"))
+    star = join_counted(mixed, hubs, ["key"], "n", mixed.count(), "node").filter("component <> hub_component")
+    alike = _alike(mixed, nodes, percent).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    return star.select(F.col("hub").alias("a"), F.col("node").alias("b")).union(alike).distinct().join(tested, ["a", "b"], "left_anti")
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """node, own (the sorted shingle hashes as bytes) and mins of each text."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                sets = shingle_sets(part.column("text"), words)
+                keep = pa.array([bool(len(x)) for x in sets])
+                sets = [x for x in sets if len(x)]
+                mins = [(_mix(signature(x)) & np.uint64(255)).astype(np.uint8).tobytes() for x in sets]
+                yield pa.record_batch([part.column("node").filter(keep), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(mins, pa.binary())], ["node", "own", "mins"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, own binary, mins binary")
+
+
+def _joining_links(group, percent: int) -> list[tuple[int, int]]:
+    """Links (a < b) among the rows of a group, tested on full sets, until they join all components that they can join."""
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("own").to_pylist()]
+    node, label = np.asarray(group.column("node")), np.array(group.column("component"))
+    _, open_ = _open_pairs(group, label, percent)
+    n = np.array([len(x) for x in sets], np.int64)
+    open_ &= (n[:, None] * 100 >= n * percent) & (n * 100 >= n[:, None] * percent)
+    some = np.flatnonzero(open_.any(1))
+    out: list = []
+    if not len(some):
+        return out
+    n, node, label, open_ = n[some], node[some], label[some], open_[np.ix_(some, some)]
+    held, word = np.unique(np.concatenate([sets[i] for i in some]), return_inverse=True)
+    ends = np.cumsum(n)
+    for i in range(len(some)):
+        others = np.flatnonzero(open_[i] & (label != label[i]))
+        others = others[others > i]
+        if not len(others):
+            continue
+        own = np.zeros(len(held), np.int32)
+        own[word[ends[i] - n[i] : ends[i]]] = 1
+        common = np.array([own[word[ends[j] - n[j] : ends[j]]].sum() for j in others]) if len(others) <= FEW else np.add.reduceat(own[word], ends - n)[others]
+        for j in others[100 * common >= percent * (n[i] + n[others] - common)]:
+            if label[j] != label[i]:
+                out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _close(rest: DataFrame, nodes: DataFrame, docs: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links (a < b) that join components, among all pairs that share a bucket and pass the sketch bound."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for group in _groups(batches):
+            links = _joining_links(group, percent)
+            yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+    mixed = _mixed(rest, found)
+    live = _alike(mixed, nodes, percent).select("key", "node").distinct().join(mixed.distinct(), ["key", "node"])
+    live = stage(live.join(nodes.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles")), "node"), "live")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(live.select("node").distinct(), "node", "left_semi")
+    met = _blocks(live, F.col("n_shingles")).join(stage(_sets(texts, words), "sets"), "node")
+    return stage(_grouped(met).mapInArrow(run, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -318,15 +433,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = confirm_pairs(tested, nodes, docs, words, percent)
     edges = copies.union(links)
     found = components(edges)
-    while True:
-        more = stage(_left_out(buckets, nodes, found, tested), "pairs")
-        if more.isEmpty():
-            break
-        links = confirm_pairs(more, nodes, docs, words, percent)
-        if links.isEmpty():
-            break
-        tested, edges = tested.union(more), edges.union(links)
-        found = components(edges.select("a", "b"))
+    more = stage(_left_out(buckets, nodes, found, tested, percent), "pairs")
+    if not more.isEmpty():
+        edges = edges.union(confirm_pairs(more, nodes, docs, words, percent))
+        found = components(edges)
+    closed = _close(_behind(_behind(buckets)), nodes, docs, found, words, percent)
+    if not closed.isEmpty():
+        found = components(edges.union(closed))
     out = _with_component(sketch.select("doc_id", "n_shingles"), found, "doc_id")
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 

@@ -125,6 +125,44 @@ def test_large_buckets_are_split_by_further_bins(spark):
     assert (70, 90) in got and {(1, i) for i in range(2, n)} <= got and len(got) < 3 * n
 
 
+def _family(n, words=160, edits=3, seed=11):
+    """Independent edits of one page: pairs of them are near the threshold, on both sides of it."""
+    rng = random.Random(seed)
+    page, out = [f"w{rng.randrange(5000)}" for _ in range(words)], []
+    for _ in range(n):
+        text = list(page)
+        for at in rng.sample(range(words), edits):
+            text[at] = f"e{rng.randrange(10**9)}"
+        out.append(" ".join(text))
+    return out
+
+
+def _true_components(texts, words, percent):
+    sets = [frozenset(zip(*(x.split()[j:] for j in range(words)), strict=False)) for x in texts]
+    at = {w: i for i, w in enumerate(sorted(set().union(*sets)))}
+    label, n = np.arange(len(sets)), np.array([len(x) for x in sets])
+    rows = [np.array([at[w] for w in x]) for x in sets]
+    flat, ends = np.concatenate(rows), np.cumsum(n)
+    for i, row in enumerate(rows):
+        own = np.zeros(len(at), int)
+        own[row] = 1
+        common = np.add.reduceat(own[flat], ends - n)
+        for j in np.flatnonzero(100 * common >= percent * (n[i] + n - common)):
+            if label[i] != label[j]:
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
+    return label.tolist()
+
+
+@pytest.mark.parametrize("block", [near_dedup.SMALL, 100])
+def test_large_families_are_tested_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "SMALL", block)
+    texts = _family(1100)
+    true = _true_components(texts, 5, 80)
+    assert 5 < len(set(true)) < 1000
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), 5, 80).collect()}
+    assert [got[i] for i in range(len(texts))] == true
+
+
 def test_components_of_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in near_dedup.components(edges).collect()}

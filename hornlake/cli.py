@@ -1,4 +1,4 @@
-"""Command line: analyse queries written in Python source and print them as SQL."""
+"""Command line: analyse queries written in Python source, and print them as SQL or as Spark's plan."""
 
 from __future__ import annotations
 
@@ -15,13 +15,28 @@ from .plans.to_sql import KNOWN_PATTERNS, ConversionResult, convert_to_sql
 from .sources.entities import Entity
 from .terms import Q, Var
 
+#: Queries over the catalogue's fact types, to try.
 EXAMPLES = {
-    "1": "query(WorksFor(Var('emp'), Var('company')), WorksOn(Var('emp'), Var('project', where=Q(company=Var('company')))))",
-    "2": "query(WorksFor(Var('emp'), Var('company')), MemberOf(Var('emp'), Var('dept')))",
-    "3": "query(WorksFor(Var('emp', where=Q(is_manager=True)), Var('company')))",
+    "1": "query(SupplierIn(Var('s'), Var('n')), CustomerIn(Var('c', where=Q(nation=Var('n'))), Var('m')))",
+    "2": "query(PlacedBy(Var('o'), Var('c')), CustomerIn(Var('c'), Var('n')))",
+    "3": "query(PartParent(Var('p'), Var('q', where=Q(size__gte=10))))",
 }
 
 
+class _Open(dict):
+    """References of a stand-in entity type: any field may lead to another one."""
+
+    def __init__(self, entity):
+        super().__init__()
+        self.entity = entity
+
+    def __contains__(self, name: object) -> bool:
+        return True
+
+    def __getitem__(self, name: str) -> type[Entity]:
+        return self.entity(name.capitalize())
+
+
 class _Reader:
     """Builds patterns from the syntax of query(...) calls; nothing of the source is run."""
 
@@ -33,7 +48,7 @@ class _Reader:
         """A stand-in entity type that has every field."""
         if name not in self.entities:
             column = classmethod(lambda cls, field, columns: cls.key if field in ("id", "pk") else field)
-            self.entities[name] = type(name, (Entity,), {"column": column})
+            self.entities[name] = type(name, (Entity,), {"column": column, "references": _Open(self.entity)})
             Entity.known.remove(self.entities[name])
         return self.entities[name]
 
@@ -90,7 +105,41 @@ def shown(patterns: list[Fact], result: ConversionResult, shape: str) -> str:
     return f"-- {' & '.join(map(repr, patterns))}\n-- {kinds}: {counts}{notes}\n{result.sql}"
 
 
-def report(source: str, shape: str) -> str:
+def explained(patterns: list[Fact]) -> str:
+    """What the analysis says of the patterns, and Spark's plan of them over empty tables that have the fields named."""
+    from pyspark.sql import SparkSession
+
+    from .engine import Engine
+    from .functions.predicates import Path
+
+    kinds = {bool: "boolean", str: "string", float: "double"}
+    tables: dict[type[Entity], dict[str, str]] = {t: {} for p in patterns for t in type(p).entity_types().values() if t}
+    for term in (t for p in patterns for t in p.variables if t.where is not None):
+        at = next(t for p in patterns for side, t in type(p).entity_types().items() if getattr(p, side) is term)
+        for path, value in term.where.leaves():
+            own, found = at, Path(at, path, lambda _: [])
+            for column, target in found.forward:
+                tables.setdefault(own, {}).setdefault(column, "bigint")
+                tables.setdefault(own := target, {})
+            first = value[0] if isinstance(value, (list, tuple)) and value else value
+            kind = "timestamp" if found.transforms else kinds.get(type(first), "date" if hasattr(first, "isoformat") else "bigint")
+            if found.column != own.key:
+                tables.setdefault(own, {}).setdefault(found.column, kind)
+    spark = SparkSession.builder.getOrCreate()
+    engine = Engine(spark)
+    for entity, fields in tables.items():
+        engine.entity(entity, spark.createDataFrame([], ", ".join(f"`{c}` {k}" for c, k in {entity.key: "bigint", **fields}.items())))
+    for p in patterns:
+        own = type(p)
+        own.inferred = False
+        engine.relation(own, spark.createDataFrame([], "subject bigint, object bigint"), unique=True)
+    plan = engine.query(*patterns, hydrate=False)._jdf.queryExecution().optimizedPlan().toString()
+    return json.dumps(analyze_query_patterns(patterns), default=str, indent=2) + "\n" + plan
+
+
+def report(source: str, shape: str, explain: bool = False) -> str:
+    if explain:
+        return "\n\n".join(map(explained, parse_patterns(source)))
     return "\n\n".join(shown(p, convert_to_sql(p), shape) for p in parse_patterns(source))
 
 
@@ -101,20 +150,21 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--analyze", "-a", action="store_true", help="list the query shapes that reports tell apart")
     parser.add_argument("--output", "-o", help="write the report to this file")
     parser.add_argument("--format", choices=["code", "json", "markdown"], default="code")
+    parser.add_argument("--explain", "-e", action="store_true", help="with --file or --interactive: the analysis and Spark's optimized plan instead of SQL")
     args = parser.parse_args(argv)
     if args.analyze:
         text = "\n".join(f"{p.name}: {p.description} ({p.query_count_improvement} statements)" for p in KNOWN_PATTERNS)
     elif args.file:
         try:
             with open(args.file, encoding="utf-8") as file:
-                text = report(file.read(), args.format)
+                text = report(file.read(), args.format, args.explain)
         except OSError as error:
             print(f"{args.file}: {error.strerror}", file=sys.stderr)
             return 2
     elif args.interactive:
         while (line := input("query, example number, or empty to end: ").strip()):
             try:
-                print(report(EXAMPLES.get(line, line), args.format) or "no query(...) call there")
+                print(report(EXAMPLES.get(line, line), args.format, args.explain) or "no query(...) call there")
             except (SyntaxError, TypeError, ValueError) as error:
                 print(f"not understood: {error}")
         return 0

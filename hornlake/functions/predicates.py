@@ -70,13 +70,22 @@ class Unbound(ValueError):
     """A constraint names a variable that the query does not bind."""
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, whatever characters that holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 class Path:
-    """A leaf's path taken apart: forward keys, then at most one reverse or bridged relation, field, transforms, lookup."""
+    """A leaf's path taken apart: forward keys, then a field, transforms and lookup, or a reverse or bridged relation.
+
+    far: the entity across that relation, its column back to us, its column to compare if the path ends there; rest: the
+    path that goes on from that entity, which may cross further relations; final: the lookup at the path's very end.
+    """
 
     def __init__(self, entity: type[Entity], path: str, columns: Callable[[type[Entity]], list[str]]):
         parts = path.split("__")
         self.forward: list[tuple[str, type[Entity]]] = []
-        self.far: tuple[type[Entity], str, str] | None = None  # entity, its column back to us, its column to compare
+        self.far: tuple[type[Entity], str, str] | None = None
         self.rest, self.transforms, self.lookup, self.column = "", [], "exact", entity.key
         at = entity
         while parts:
@@ -94,11 +103,11 @@ class Path:
                 bridge = at.bridges[name]
                 own = bridge.through.column(bridge.own, columns(bridge.through))
                 other = bridge.through.column(bridge.other, columns(bridge.through))
-                self.far = (bridge.through, own, other)
+                self.far, field = (bridge.through, own, other), bridge.other
                 if not ends:
                     self.rest, parts = "__".join([bridge.other, *parts[1:]]), ["exact"]
             elif found := at.reverse(name):
-                self.far = (found[0], found[0].column(found[1], columns(found[0])), found[0].key)
+                self.far, field = (found[0], found[0].column(found[1], columns(found[0])), found[0].key), "pk"
                 if not ends:
                     self.rest, parts = "__".join(parts[1:]), ["exact"]
             elif at is not entity and name in LOOKUPS | TRANSFORMS:
@@ -119,6 +128,10 @@ class Path:
                 self.lookup = name
             else:
                 raise ValueError(f"unknown lookup {name!r} in {path!r}")
+        self.ends = self.far is not None and not self.rest
+        if self.ends:
+            self.rest = "__".join([field, *parts])
+        self.final = Path(self.far[0], self.rest, columns).final if self.far else self.lookup
 
 
 class Compiler:
@@ -132,19 +145,22 @@ class Compiler:
         self.table, self.unbound = table, unbound
         self.columns = lambda entity: table(entity).columns
 
-    def apply(self, df: DataFrame, key: str, entity: type[Entity], q: Q, bound: dict[str, str]) -> tuple[DataFrame, Column]:
-        """`key` is the column of df that holds the entity's key; `bound` maps variables to columns of df."""
-        self.df, self.fetched = df, {(): (entity, key, {})}
-        self._fetch_all(q, entity, bound)
+    def apply(self, df: DataFrame, key: str, entity: type[Entity], q: Q, bound: dict[str, str], own: bool = False) -> tuple[DataFrame, Column]:
+        """`key` is the column of df that holds the entity's key; `bound` maps variables to columns of df.
+
+        own: df is the entity's table, or rows of it, so its fields are read where they are, without a join.
+        """
+        self._start(df, key, entity, [path for path, _ in q.leaves()], own)
         fits = self._tree(q, bound)  # adds joins to self.df
         return self.df, fits
 
-    def _fetch_all(self, q: Q, entity: type[Entity], bound: dict[str, str]) -> None:
+    def _start(self, df: DataFrame, key: str, entity: type[Entity], paths: list[str], own: bool) -> None:
         """One join for each entity on a forward path, with only the columns that some leaf needs."""
+        self.df, self.fetched = df, {}
         self.paths: dict[str, Path] = {}
         needs: dict[tuple, set[str]] = {}
         owner: dict[tuple, type[Entity]] = {(): entity}
-        for path, _ in q.leaves():
+        for path in paths:
             p = self.paths.setdefault(path, Path(entity, path, self.columns))
             at: tuple = ()
             for column, target in p.forward:
@@ -154,24 +170,35 @@ class Compiler:
             if p.column != owner[at].key:
                 needs.setdefault(at, set()).add(p.column)
         for at in sorted(owner, key=len):
-            own = needs.get(at, set()) - {owner[at].key}
-            key = self.fetched[()][1] if not at else self._at(at)
-            names = {owner[at].key: key}
-            if own:
+            wanted = needs.get(at, set()) - {owner[at].key}
+            held = key if not at else self._at(at)
+            names = {owner[at].key: held}
+            if own and not at:
+                names |= {c: c for c in wanted}
+            elif wanted:
                 n = next(_numbers)
-                names |= {c: f"__f{n}_{i}" for i, c in enumerate(sorted(own))}
-                side = self.table(owner[at]).select(F.col(owner[at].key).alias(f"__k{n}"), *(F.col(c).alias(names[c]) for c in sorted(own)))
-                self.df = self.df.join(side, F.col(key) == F.col(f"__k{n}"), "left").drop(f"__k{n}")
-            self.fetched[at] = (owner[at], key, names)
+                names |= {c: f"__f{n}_{i}" for i, c in enumerate(sorted(wanted))}
+                side = self.table(owner[at]).select(named(owner[at].key).alias(f"__k{n}"), *(named(c).alias(names[c]) for c in sorted(wanted)))
+                self.df = self.df.join(side, named(held) == F.col(f"__k{n}"), "left").drop(f"__k{n}")
+            self.fetched[at] = names
 
     def _at(self, at: tuple) -> str:
-        return self.fetched[at[:-1]][2][at[-1]]
+        return self.fetched[at[:-1]][at[-1]]
+
+    def _held(self, p: Path) -> str:
+        return self.fetched[tuple(column for column, _ in p.forward)][p.column]
+
+    def _shown(self, p: Path) -> Column:
+        column = named(self._held(p))
+        for name in p.transforms:
+            column = TRANSFORMS[name](column)
+        return column
 
     def _value(self, value: Any, bound: dict[str, str]) -> Any:
         if isinstance(value, Var):
             if value.name not in bound:
                 raise Unbound(f"constraint names {value.name!r}, which the query does not bind")
-            return F.col(bound[value.name])
+            return named(bound[value.name])
         if isinstance(value, (list, tuple, set, frozenset)):
             return [self._value(v, bound) for v in value]
         return key_of(value)
@@ -190,8 +217,6 @@ class Compiler:
 
     def _leaf(self, path: str, value: Any, bound: dict[str, str]) -> Column:
         p = self.paths[path]
-        at = tuple(column for column, _ in p.forward)
-        _, _, names = self.fetched[at]
         try:
             value = self._value(value, bound)
         except Unbound:
@@ -199,54 +224,66 @@ class Compiler:
                 return F.lit(True)
             raise
         if p.far is None:
-            column = F.col(names[p.column])
-            for name in p.transforms:
-                column = TRANSFORMS[name](column)
-            return LOOKUPS[p.lookup](column, value)
-        return self._far(p, names[p.column], value)
-
-    def _far(self, p: Path, key: str, value: Any) -> Column:
-        """Whether some row on the other side of a reverse or bridged relation fits."""
-        entity, back, column = p.far
+            return LOOKUPS[p.lookup](self._shown(p), value)
+        items = value if isinstance(value, list) else [value]
+        return self._far_column(p, items) if any(isinstance(v, Column) for v in items) else self._far(p, value)
+
+    def _mark(self, keys: DataFrame, held: str) -> Column:
+        """Whether a row's `held` is among the keys (one column)."""
         n = next(_numbers)
-        mark = f"__m{n}"
-        far = self.table(entity)
-        if p.rest:  # the value may be a column of ours, so it is compared after the join
-            path = Path(entity, p.rest, self.columns)
-            far, shown = _reach(self.table, far, path)
-            lookup, transforms = path.lookup, path.transforms
-        else:
-            shown, lookup, transforms = F.col(column), p.lookup, p.transforms
-        for name in transforms:
-            shown = TRANSFORMS[name](shown)
-        pairs = far.select(F.col(back).alias(f"__b{n}"), shown.alias(f"__v{n}")).filter(F.col(f"__b{n}").isNotNull())
-        other = value if isinstance(value, list) else [value]
-        if not any(isinstance(v, Column) for v in other):
-            keys = pairs.filter(LOOKUPS[lookup](F.col(f"__v{n}"), value)).select(f"__b{n}").distinct().withColumn(mark, F.lit(True))
-            self.df = self.df.join(keys, F.col(key) == F.col(f"__b{n}"), "left").drop(f"__b{n}")
-            return F.coalesce(F.col(mark), F.lit(False))
+        keys = keys.toDF(f"__b{n}").filter(F.col(f"__b{n}").isNotNull()).distinct().withColumn(f"__m{n}", F.lit(True))
+        self.df = self.df.join(keys, named(held) == F.col(f"__b{n}"), "left").drop(f"__b{n}")
+        return F.coalesce(F.col(f"__m{n}"), F.lit(False))
+
+    def _far(self, p: Path, value: Any) -> Column:
+        """Whether some row on the other side of a reverse or bridged relation fits; the other side may go on to further ones.
+
+        A test for null also holds where there is no row on the other side, as over an outer join.
+        """
+        entity, back, _ = p.far
+        far, fits = Compiler(self.table, self.unbound).apply(self.table(entity), entity.key, entity, Q((p.rest, value)), {}, own=True)
+        out = self._mark(far.filter(fits).select(named(back)), self._held(p))
+        if value is None and p.final in ("exact", "iexact") or value and p.final == "isnull":
+            out = out | ~self._mark(self.table(entity).select(named(back)), self._held(p))
+        return out
+
+    def _far_column(self, p: Path, items: list) -> Column:
+        """The same for values that are columns of ours: distinct pairs of key and far value are joined by equality."""
+        pairs, lookup = _pairs(self.table, p)
         if lookup not in ("exact", "in"):
             raise ValueError("across a reverse relation a variable can only be compared by equality")
         out = F.lit(False)
-        for i, v in enumerate(other):
-            own = pairs.distinct().toDF(f"__b{n}_{i}", f"__v{n}_{i}").withColumn(f"{mark}_{i}", F.lit(True))
-            on = (F.col(key) == F.col(f"__b{n}_{i}")) & (F.col(f"__v{n}_{i}") == (v if isinstance(v, Column) else F.lit(v)))
-            self.df = self.df.join(own, on, "left").drop(f"__b{n}_{i}", f"__v{n}_{i}")
-            out = out | F.coalesce(F.col(f"{mark}_{i}"), F.lit(False))
+        for v in items:
+            if v is None:
+                continue
+            n = next(_numbers)
+            found = pairs.toDF(f"__b{n}", f"__v{n}").distinct().withColumn(f"__m{n}", F.lit(True))
+            on = (named(self._held(p)) == F.col(f"__b{n}")) & (F.col(f"__v{n}") == (v if isinstance(v, Column) else F.lit(v)))
+            self.df = self.df.join(found, on, "left").drop(f"__b{n}", f"__v{n}")
+            out = out | F.coalesce(F.col(f"__m{n}"), F.lit(False))
         return out
 
 
-def _reach(table: Callable[[type[Entity]], DataFrame], df: DataFrame, path: Path) -> tuple[DataFrame, Column]:
-    """`df` with the column that a forward path from its entity ends at."""
-    at = path.forward
-    current = path.column
-    if not at:
-        return df, F.col(current)
-    key = at[0][0]
-    for i, (_, target) in enumerate(at):
-        n = next(_numbers)
-        want = at[i + 1][0] if i + 1 < len(at) else current
-        side = table(target).select(F.col(target.key).alias(f"__rk{n}"), F.col(want).alias(f"__rv{n}"))
-        df = df.join(side, F.col(key) == F.col(f"__rk{n}"), "left").drop(f"__rk{n}")
-        key = f"__rv{n}"
-    return df, F.col(key)
+def _pairs(table: Callable[[type[Entity]], DataFrame], p: Path) -> tuple[DataFrame, str]:
+    """(key, value) for each row that a reverse or bridged relation, and what follows it in the path, leads to."""
+    entity, back, _ = p.far
+    n = next(_numbers)
+    back_name, key_name = f"__pb{n}", f"__pk{n}"
+    far = table(entity)
+    inner = Path(entity, p.rest, lambda e: table(e).columns)
+    start = far.select(named(back).alias(back_name), named(entity.key).alias(key_name), *(named(c).alias(f"__pc{n}_{c}") for c in {c for c, _ in inner.forward[:1]} | ({inner.column} if not inner.forward else set())))
+    held = key_name if inner.column == entity.key and not inner.forward else f"__pc{n}_{inner.forward[0][0] if inner.forward else inner.column}"
+    for i, (_, target) in enumerate(inner.forward):
+        m = next(_numbers)
+        want = inner.forward[i + 1][0] if i + 1 < len(inner.forward) else inner.column
+        side = table(target).select(named(target.key).alias(f"__rk{m}"), named(want).alias(f"__rv{m}"))
+        start = start.join(side, named(held) == F.col(f"__rk{m}")).drop(f"__rk{m}")
+        held = f"__rv{m}"
+    if inner.far is None:
+        shown = named(held)
+        for name in inner.transforms:
+            shown = TRANSFORMS[name](shown)
+        return start.select(named(back_name), shown.alias(f"__pv{n}")).filter(named(back_name).isNotNull() & named(f"__pv{n}").isNotNull()), inner.lookup
+    further, lookup = _pairs(table, inner)
+    further = further.toDF(f"__qk{n}", f"__qv{n}")
+    return start.join(further, named(held) == F.col(f"__qk{n}")).select(named(back_name), F.col(f"__qv{n}")).filter(named(back_name).isNotNull()), lookup

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..facts import Fact, key_of
-from ..functions.predicates import Compiler, Unbound
+from ..functions.predicates import Compiler, Path, Unbound, named
 from ..sources.entities import Entity
 from ..terms import Q, Var, extract_variable_references, has_variable_references
 
@@ -24,6 +24,11 @@ class Variable:
     simple: list[Q] = field(default_factory=list)
     cross: list[Q] = field(default_factory=list)
 
+    @property
+    def constraint(self) -> Q:
+        """All constraints without other variables as one."""
+        return self.simple[0] if len(self.simple) == 1 else Q(*self.simple)
+
 
 def variables_of(atoms: list[Fact], also: list[Fact] = ()) -> dict[str, Variable]:
     """The variables of `atoms`, with the constraints of all occurrences of a name, also those in `also`, taken together."""
@@ -63,15 +68,40 @@ def ordered(atoms: list[Fact], variables: dict[str, Variable]) -> list[Fact]:
     return out
 
 
-class ClauseCompiler:
-    """Compiles conjunctions over the relations that `relation` gives."""
+def column_of(name: str) -> str:
+    """The internal column of a variable: safe characters only, and distinct for names that differ only in case."""
+    return "v_" + "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else f"_{ord(c):x}_" for c in name)
 
-    def __init__(self, relation: Callable[[Fact], DataFrame], table: Callable[[type[Entity]], DataFrame], unbound: str = "raise"):
-        self.relation, self.table, self.unbound = relation, table, unbound
 
-    def atom(self, atom: Fact) -> DataFrame:
-        """A column for each variable of the pattern; constants and a repeated variable are filters."""
-        df = self.relation(atom)
+class ClauseCompiler:
+    """Compiles conjunctions over the relations that `relation` gives.  Variables are columns named by column_of().
+
+    held: a fact type -> the side whose entity's table holds its rows and the expression of the other side, or None.
+    limited: relation() takes, besides a pattern, keys that a side is limited to, where that can save work; the
+    limits are applied here in any case.
+    """
+
+    def __init__(self, relation: Callable[..., DataFrame], table: Callable[[type[Entity]], DataFrame], unbound: str = "raise", held: Callable = lambda kind: None, limited: Callable = lambda kind: set()):
+        self.relation, self.table, self.unbound, self.held, self.limited = relation, table, unbound, held, limited
+
+    def atom(self, atom: Fact, variables: dict[str, Variable], done: set[str]) -> DataFrame:
+        """A column for each variable of the pattern; constants, a repeated variable and constraints are filters.
+
+        The constraints of the pattern's variables that are not `done` are applied, and are done then.
+        """
+        todo = [t for t in dict.fromkeys(v.name for v in atom.variables) if variables[t].simple and t not in done]
+        done |= set(todo)
+        if (held := self.held(type(atom))) and isinstance(own := getattr(atom, held[0]), Var) and own.name in todo:
+            entity = type(atom).entity_types()[held[0]]
+            df, fits = Compiler(self.table, self.unbound).apply(self.table(entity), entity.key, entity, variables[own.name].constraint, {}, own=True)
+            df = df.where(fits)
+            sides = {held[0]: named(entity.key), "object" if held[0] == "subject" else "subject": F.expr(held[1])}
+            df = df.select(*(sides[s].alias(s) for s in ("subject", "object"))).where(F.col("subject").isNotNull() & F.col("object").isNotNull())
+            todo.remove(own.name)
+        elif passed := {s: variables[t.name] for s in self.limited(type(atom)) if isinstance(t := getattr(atom, s), Var) and t.name in todo}:
+            df = self.relation(atom, {side: (repr(v.constraint), self.allowed(v, side)) for side, v in passed.items()})
+        else:
+            df = self.relation(atom)
         columns = {}
         for side, term in zip(("subject", "object"), atom.terms, strict=True):
             if isinstance(term, Var):
@@ -81,13 +111,15 @@ class ClauseCompiler:
                     columns[term.name] = side
             else:
                 df = df.where(F.col(side) == F.lit(key_of(term)))
-        return df.select(*(F.col(side).alias(name) for name, side in columns.items()))
+        df = df.select(*(F.col(side).alias(column_of(name)) for name, side in columns.items()))
+        for name in todo:
+            df = df.join(self.allowed(variables[name], column_of(name)), column_of(name), "left_semi")
+        return df
 
-    def allowed(self, v: Variable) -> DataFrame:
-        """Keys of the entities that a variable's own constraints accept."""
-        q = v.simple[0] if len(v.simple) == 1 else Q(*v.simple)
-        df, fits = Compiler(self.table, self.unbound).apply(self.table(v.entity), v.entity.key, v.entity, q, {})
-        return df.where(fits).select(F.col(v.entity.key).alias(v.name))
+    def allowed(self, v: Variable, column: str) -> DataFrame:
+        """Keys of the entities that a variable's own constraints accept: one scan of the entity's table."""
+        df, fits = Compiler(self.table, self.unbound).apply(self.table(v.entity), v.entity.key, v.entity, v.constraint, {}, own=True)
+        return df.where(fits).select(named(v.entity.key).alias(column))
 
     def body(self, atoms: list[Fact], head: Fact | None = None) -> DataFrame:
         """The bindings of a conjunction, a column for each variable that is needed."""
@@ -103,12 +135,8 @@ class ClauseCompiler:
         done: set[str] = set()
         todo = ordered(atoms, variables)
         for i, atom in enumerate(todo):
-            right = self.atom(atom)
-            for name in dict.fromkeys(v.name for v in atom.variables):
-                if variables[name].simple and name not in done:
-                    right = right.join(self.allowed(variables[name]), name, "left_semi")
-                    done.add(name)
-            later = needed | {v.name for rest in todo[i + 1 :] for v in rest.variables}
+            right = self.atom(atom, variables, done)
+            later = {column_of(n) for n in needed | {v.name for rest in todo[i + 1 :] for v in rest.variables}}
             if df is None:
                 df = right
             else:
@@ -124,18 +152,36 @@ class ClauseCompiler:
                 df = df.select(*kept)
         for v in variables.values():
             for q in v.cross:
-                df = self._cross(df, v, q)
+                df = self._cross(df, v, q, {column_of(n): n for n in variables})
         return df
 
-    def _cross(self, df: DataFrame, v: Variable, q: Q) -> DataFrame:
-        bound = {c: c for c in df.columns}
+    def _cross(self, df: DataFrame, v: Variable, q: Q, names: dict[str, str]) -> DataFrame:
+        bound = {names[c]: c for c in df.columns}
         missing = [name for name in extract_variable_references(q) if name not in bound]
         if missing and self.unbound == "raise":
             raise Unbound(f"a constraint of {v.name!r} names {missing[0]!r}, which no pattern binds")
         if v.name not in bound:
             return df
-        out, fits = Compiler(self.table, self.unbound).apply(df, v.name, v.entity, q, bound)
-        return out.where(fits).select(*df.columns)
+        fits = lambda df, q: Compiler(self.table, self.unbound).apply(df, column_of(v.name), v.entity, q, bound)
+        if not missing and len(parts := self._one_of(v, q)) > 1:
+            out = []
+            for i, part in enumerate(parts):  # disjoint: each leaves out what those before it have, and equalities stay equi-joins
+                here, holds = fits(df, Q(part, *(~before for before in parts[:i])))
+                out.append(here.where(holds).select(*df.columns))
+            return reduce(DataFrame.union, out)
+        out, holds = fits(df, q)
+        return out.where(holds).select(*df.columns)
+
+    def _one_of(self, v: Variable, q: Q) -> list[Q]:
+        """The alternatives of a single test `path__in=[...]`: one for the constants together, one for each variable."""
+        if q.negated or len(q.children) != 1 or isinstance(q.children[0], Q):
+            return [q]
+        path, value = q.children[0]
+        p = Path(v.entity, path, lambda e: self.table(e).columns)
+        if p.far is not None or p.lookup != "in" or not isinstance(value, (list, tuple)):
+            return [q]
+        fixed, own = [x for x in value if not isinstance(x, Var)], dict.fromkeys(x.name for x in value if isinstance(x, Var))
+        return [*([Q((path, fixed))] if fixed else []), *(Q((path, [Var(name)])) for name in own)]
 
     def clause(self, head: Fact, atoms: list[Fact]) -> DataFrame | None:
         """The facts that a rule derives, or None if it can't derive any: a head variable that the body doesn't bind."""
@@ -145,7 +191,7 @@ class ClauseCompiler:
         if not atoms:
             return None  # a ground axiom is the engine's to give
         df = self.body(atoms, head)
-        sides = [F.col(t.name) if isinstance(t, Var) else F.lit(key_of(t)) for t in head.terms]
+        sides = [F.col(column_of(t.name)) if isinstance(t, Var) else F.lit(key_of(t)) for t in head.terms]
         return df.select(sides[0].alias("subject"), sides[1].alias("object"))
 
 

@@ -14,8 +14,11 @@ from ..sources import storage
 from ..terms import Var
 from .compile import ClauseCompiler
 
-#: Rounds of a recursive group after which the engine gives up; it raises, and never cuts a result short.
-MAX_ROUNDS = 1000
+#: Rounds of a recursive group after which the engine gives up, by raising; None sets no bound.
+MAX_ROUNDS: int | None = None
+
+#: A delta of at most so many facts is taken so many steps further in one job: its cost is the job, not the data.
+SMALL_DELTA, STEPS = 100_000, 4
 
 
 def strongly_connected(graph: dict[type[Fact], set[type[Fact]]]) -> list[list[type[Fact]]]:
@@ -77,11 +80,14 @@ def kept_side(rules: list[Rule], relation: type[Fact]) -> set[str]:
 
 
 class Inference:
-    """The inferred relations of one query; each is compiled once."""
+    """The inferred relations over one state of the stored ones; each is computed once, closures at the first use.
+
+    seeds: facts of inferred types that are given, as rules derive others from them.
+    """
 
-    def __init__(self, spark: SparkSession, rules: list[Rule], stored: Callable[[type[Fact]], DataFrame], table, empty: Callable[[type[Fact]], DataFrame], unbound: str = "raise", max_rounds: int = MAX_ROUNDS):
-        self.spark, self.stored, self.table, self.empty = spark, stored, table, empty
-        self.unbound, self.max_rounds = unbound, max_rounds
+    def __init__(self, spark: SparkSession, rules: list[Rule], stored: Callable[[type[Fact]], DataFrame], table, empty: Callable[[type[Fact]], DataFrame], unbound: str = "raise", max_rounds: int | None = MAX_ROUNDS, held: Callable = lambda kind: None, seeds: dict[type[Fact], DataFrame] | None = None):
+        self.spark, self.stored, self.table, self.empty, self.held = spark, stored, table, empty, held
+        self.unbound, self.max_rounds, self.seeds = unbound, max_rounds, seeds or {}
         self.by_head: dict[type[Fact], list[Rule]] = {}
         for r in rules:
             self.by_head.setdefault(type(r.head), []).append(r)
@@ -90,21 +96,38 @@ class Inference:
         self.graph = graph
         self.done: dict = {}
 
-    def relation(self, atom: Fact) -> DataFrame:
-        """The relation of a pattern; a constant on a side that recursion keeps limits the iteration."""
+    def compiler(self, relation: Callable | None = None) -> ClauseCompiler:
+        return ClauseCompiler(relation or self.relation, self.table, self.unbound, lambda kind: None if kind in self.by_head else self.held(kind), self._limited)
+
+    def _limited(self, kind: type[Fact]) -> set[str]:
+        """Sides of a recursive relation whose limits hold for the whole iteration."""
+        if kind not in self.by_head or not self._recursive(group := self.group_of[kind]) or len(group) > 1:
+            return set()
+        return kept_side(self.by_head[kind], kind)
+
+    def relation(self, atom: Fact, limits: dict[str, tuple[str, DataFrame]] | None = None) -> DataFrame:
+        """The relation of a pattern; a constant or a limit on a side that recursion keeps limits the iteration.
+
+        limits: side -> (what the limit is, the keys that it leaves).
+        """
         kind = type(atom)
         if kind not in self.by_head:
-            return self.empty(kind) if kind.inferred else self.stored(kind)
+            return self.seeds.get(kind, self.empty(kind)) if kind.inferred else self.stored(kind)
         group = self.group_of[kind]
         if not self._recursive(group):
             return self._whole(kind)
         if len(group) == 1:
-            fixed = {s: key_of(getattr(atom, s)) for s in kept_side(self.by_head[kind], kind) if not isinstance(getattr(atom, s), Var)}
-            if fixed:
-                key = (kind, *sorted(fixed.items()))
-                if key not in self.done:
-                    self.done[key] = self._iterate([kind], fixed)[kind]
-                return self.done[key]
+            sides = kept_side(self.by_head[kind], kind)
+            fixed = {s: key_of(getattr(atom, s)) for s in sides if not isinstance(getattr(atom, s), Var)}
+            limits = {s: limit for s, limit in (limits or {}).items() if s in sides}
+            if fixed or limits:
+                key = (kind, *sorted(fixed.items()), *((s, what) for s, (what, _) in sorted(limits.items())))
+                if key not in self.done and kind not in self.done:
+                    self.done[key] = self._iterate([kind], fixed, {s: keys for s, (_, keys) in limits.items()})[kind]
+                found = self.done.get(key, self.done.get(kind))
+                for side, (_, keys) in limits.items():
+                    found = found.join(keys, side, "left_semi").select("subject", "object")
+                return found
         return self._whole(kind)
 
     def _recursive(self, group: list[type[Fact]]) -> bool:
@@ -114,10 +137,10 @@ class Inference:
         if kind not in self.done:
             group = self.group_of[kind]
             if self._recursive(group):
-                self.done |= self._iterate(group, {})
+                self.done |= self._iterate(group, {}, {})
             else:
-                compiler = ClauseCompiler(self.relation, self.table, self.unbound)
-                self.done[kind] = self._union(kind, [self._clause(compiler, r) for r in self.by_head[kind]])
+                compiler = self.compiler()
+                self.done[kind] = self._union(kind, [self.seeds.get(kind), *(self._clause(compiler, r) for r in self.by_head[kind])])
         return self.done[kind]
 
     def _clause(self, compiler: ClauseCompiler, rule: Rule) -> DataFrame | None:
@@ -129,37 +152,65 @@ class Inference:
         some = [p for p in parts if p is not None]
         return reduce(DataFrame.unionByName, some).distinct() if some else self.empty(kind)
 
-    def _iterate(self, group: list[type[Fact]], fixed: dict) -> dict[type[Fact], DataFrame]:
-        """Semi-naive evaluation: in each round, every recursive pattern in turn reads only what the last round found.
+    def _step(self, kind: type[Fact], group: list[type[Fact]], delta: dict, whole: Callable) -> DataFrame:
+        """What one round derives: every recursive pattern in turn reads only the last round's facts."""
+        parts = []
+        for r in self.by_head[kind]:
+            for call in r.body:
+                if type(call) not in group:
+                    continue
+
+                def turn(atom: Fact, limits=None, call=call) -> DataFrame:
+                    if atom is call:
+                        return delta[type(atom)]
+                    return whole(type(atom)) if type(atom) in group else self.relation(atom, limits)
+
+                parts.append(self.compiler(turn).clause(r.head, r.body))
+        return self._union(kind, parts)
 
-        Each round's new facts are written once to the shared folder, so plans stay short and lost executors cost a read.
+    def _iterate(self, group: list[type[Fact]], fixed: dict, limits: dict) -> dict[type[Fact], DataFrame]:
+        """Semi-naive evaluation.
+
+        Each round's new facts are written once to the shared folder, so plans stay short and lost executors cost a read;
+        their number comes with the write.  A single relation whose clauses each have one recursive pattern goes several
+        steps in one job while its delta is small: facts first reached by the last step alone need to go on.
         """
-        compiler = ClauseCompiler(self.relation, self.table, self.unbound)
-        first = {}
+        compiler = self.compiler()
+        delta, count, total = {}, {}, {}
+
+        def keep(kind: type[Fact], df: DataFrame) -> None:
+            path, delta[kind], count[kind] = storage.stage_counted(df, kind.__name__)
+            total.setdefault(kind, []).append(path)
+
         for kind in group:
-            start = self._union(kind, [self._clause(compiler, r) for r in self.by_head[kind] if not any(type(a) in group for a in r.body)])
+            start = self._union(kind, [self.seeds.get(kind), *(self._clause(compiler, r) for r in self.by_head[kind] if not any(type(a) in group for a in r.body))])
             for side, value in fixed.items():
                 start = start.where(F.col(side) == F.lit(value))
-            first[kind] = storage.stage(start, kind.__name__)
-        total = {kind: [path] for kind, (path, _) in first.items()}
-        delta = {kind: df for kind, (_, df) in first.items()}
+            for side, keys in limits.items():
+                start = start.join(keys, side, "left_semi").select("subject", "object")
+            keep(kind, start)
         schema = {kind: delta[kind].schema for kind in group}
         whole = lambda kind: self.spark.read.schema(schema[kind]).parquet(*total[kind])
-        for _ in range(self.max_rounds):
-            if all(d.isEmpty() for d in delta.values()):
-                return {kind: whole(kind) for kind in group}
-            new = {}
-            for kind in group:
-                parts = []
-                for r in self.by_head[kind]:
-                    for i, call in enumerate(r.body):
-                        if type(call) not in group:
-                            continue
-                        turn = lambda atom, call=call: delta[type(atom)] if atom is call else whole(type(atom)) if type(atom) in group else self.relation(atom)
-                        parts.append(ClauseCompiler(turn, self.table, self.unbound).clause(r.head, r.body))
-                some = self._union(kind, parts)
-                new[kind] = storage.stage(some.join(whole(kind), ["subject", "object"], "left_anti").select("subject", "object"), kind.__name__)
-            for kind, (path, df) in new.items():
+        linear = len(group) == 1 and all(sum(type(a) in group for a in r.body) <= 1 for r in self.by_head[group[0]])
+        rounds = 0
+        while any(count.values()):
+            if self.max_rounds is not None and rounds >= self.max_rounds:
+                raise RuntimeError(f"no fixpoint of {', '.join(k.__name__ for k in group)} after {self.max_rounds} rounds")
+            rounds += 1
+            if linear and count[group[0]] <= SMALL_DELTA:
+                kind = group[0]
+                steps = [delta[kind]]
+                for _ in range(STEPS):
+                    steps.append(self._step(kind, group, {kind: steps[-1]}, whole))
+                levels = reduce(DataFrame.union, [s.select("subject", "object", F.lit(i).alias("level")) for i, s in enumerate(steps) if i])
+                first = levels.groupBy("subject", "object").agg(F.min("level").alias("level"))
+                new = first.join(whole(kind), ["subject", "object"], "left_anti")
+                path, rows, _ = storage.stage_counted(new.select("subject", "object", "level"), kind.__name__)
+                last = rows.where(F.col("level") == STEPS).select("subject", "object")
                 total[kind].append(path)
-                delta[kind] = df
-        raise RuntimeError(f"no fixpoint of {', '.join(k.__name__ for k in group)} after {self.max_rounds} rounds")
+                delta[kind], count[kind] = last, last.count()
+                continue
+            found = {kind: self._step(kind, group, delta, whole).join(whole(kind), ["subject", "object"], "left_anti").select("subject", "object") for kind in group}
+            for kind, df in found.items():
+                keep(kind, df)
+        return {kind: whole(kind) for kind in group}

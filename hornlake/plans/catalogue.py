@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..facts import Fact
-from ..rules import rule, rule_context
-from ..sources.entities import Entity
+from ..rules import clauses, rule, rule_context
+from ..sources.entities import Bridge, Entity
 from ..terms import Q, Var
+from .to_sql import to_sql
 
 
 class Region(Entity):
@@ -48,6 +51,17 @@ class Order(Entity):
     references = {"customer": Customer}
 
 
+class Line(Entity):
+    """Rows that tie orders to parts; they are read across relations only, so their key need not be unique."""
+
+    key = "l_orderkey"
+    fields = {"order": "l_orderkey", "part": "l_partkey", "quantity": "l_quantity"}
+    references = {"order": Order, "part": Part}
+
+
+Order.bridges = {"parts": Bridge(Line, "order", "part")}
+
+
 class CustomerIn(Fact):
     subject: Customer | Var
     object: Nation | Var
@@ -132,28 +146,34 @@ class CoIncluded(Fact, inferred=True):
     object: Part | Var
 
 
-ENTITIES = {Region: "region", Nation: "nation", Customer: "customer", Supplier: "supplier", Part: "part", Order: "orders"}
+ENTITIES = {Region: "region", Nation: "nation", Customer: "customer", Supplier: "supplier", Part: "part", Order: "orders", Line: "lineitem"}
+
+#: Fact types that an entity's table holds: the other side's expression, and the entity's side.
+REFERENCES: dict[type[Fact], tuple[str, str]] = {
+    CustomerIn: ("c_nationkey", "subject"),
+    SupplierIn: ("s_nationkey", "subject"),
+    NationIn: ("n_regionkey", "subject"),
+    PlacedBy: ("o_custkey", "subject"),
+    PartParent: ("p_partkey div 2", "object"),
+}
 
-#: Fact type -> table, subject, object, and whether no pair repeats there.
-RELATIONS: dict[type[Fact], tuple[str, str, str, bool]] = {
-    CustomerIn: ("customer", "c_custkey", "c_nationkey", True),
-    SupplierIn: ("supplier", "s_suppkey", "s_nationkey", True),
-    NationIn: ("nation", "n_nationkey", "n_regionkey", True),
-    PlacedBy: ("orders", "o_orderkey", "o_custkey", True),
-    Includes: ("lineitem", "l_orderkey", "l_partkey", False),
-    Supplies: ("lineitem", "l_suppkey", "l_partkey", False),
-    PartParent: ("part", "p_partkey div 2", "p_partkey", True),
+#: Fact type -> table, subject and object, where pairs may repeat.
+RELATIONS: dict[type[Fact], tuple[str, str, str]] = {
+    Includes: ("lineitem", "l_orderkey", "l_partkey"),
+    Supplies: ("lineitem", "l_suppkey", "l_partkey"),
 }
 
 
-def world(spark: SparkSession, sf_dir: str) -> Engine:
-    """An engine over the star-schema tables."""
-    engine = Engine(spark)
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def world(spark: SparkSession, sf_dir: str, **options) -> Engine:
+    """An engine over the star-schema tables; a table is opened at its first use."""
+    engine = Engine(spark, **options)
+    read = functools.cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     for kind, name in ENTITIES.items():
-        engine.entity(kind, read(name))
-    for kind, (name, subject, object_, unique) in RELATIONS.items():
-        engine.relation(kind, read(name).selectExpr(f"{subject} AS subject", f"{object_} AS object"), unique=unique)
+        engine.entity(kind, functools.partial(read, name))
+    for kind, (other, side) in REFERENCES.items():
+        engine.reference(kind, other, side)
+    for kind, (name, subject, object_) in RELATIONS.items():
+        engine.relation(kind, lambda name=name, subject=subject, object_=object_: read(name).selectExpr(f"{subject} AS subject", f"{object_} AS object"))
     return engine
 
 
@@ -201,6 +221,65 @@ def _store_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.query(NationIn(V("n"), V("r")), hydrate=False)
 
 
+def _store_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are retracted, some of which are stored again."""
+    engine = world(spark, sf_dir)
+    engine.retract_rows(SupplierIn, engine.stored(SupplierIn).where("object < 9"))
+    engine.store_rows(SupplierIn, engine.stored(SupplierIn).where("object = 10").selectExpr("subject + 1000000 AS subject", "2 AS object"))
+    engine.store_facts(SupplierIn(1000, 3), SupplierIn(1001, 3))
+    engine.retract_facts(SupplierIn(1001, 3), SupplierIn(1002, 3))
+    return engine.query(SupplierIn(V("s"), V("n")), hydrate=False)
+
+
+def _unbound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A constraint on a variable that nothing binds holds, if the engine is told so."""
+    engine = world(spark, sf_dir, unbound="ignore")
+    return engine.query(CustomerIn(V("c", nation=Var("nowhere"), mktsegment="BUILDING"), V("n")), hydrate=False)
+
+
+def _shown(found: dict[type[Fact], DataFrame], *kinds: type[Fact]) -> DataFrame:
+    parts = [found[kind].select(F.lit(kind.__name__).alias("kind"), F.col("subject").cast("long"), F.col("object").cast("long")) for kind in kinds]
+    return functools.reduce(DataFrame.union, parts)
+
+
+def _targeted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the rules given, not those in force, over given rows; given rows of an inferred type take part in recursion."""
+    engine = world(spark, sf_dir)
+    given = engine.table(Part).where("p_partkey < 10").selectExpr("p_partkey + 10000000 AS subject", "p_partkey AS object")
+    with rule_context():
+        rule(SiblingOf(V("a"), V("b")), PartParent(V("p"), V("a")) & PartParent(V("p"), V("b")))
+        found = engine.materialize({Ancestor: given}, [c for head, body in _ANCESTOR for c in clauses(head, body)])
+    return _shown(found, *found)
+
+
+def _from_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rules derive from a list of facts."""
+    engine = world(spark, sf_dir)
+    with rule_context():
+        rule(RegionMates(V("a"), V("b")), NationIn(V("a"), V("r")) & NationIn(V("b"), V("r")))
+        rule(RegionMates(V("a"), V("c")), RegionMates(V("a"), V("b")) & RegionMates(V("b"), V("c")))
+        found = engine.materialize([NationIn(Nation(1), Region(1)), NationIn(Nation(2), Region(1)), RegionMates(Nation(2), Nation(9)), RegionMates(Nation(9), Nation(8))])
+    return _shown(found, RegionMates)
+
+
+_TEXT_PATTERNS = [
+    CustomerIn(V("c", nation__region__name__startswith="A"), V("n")),
+    SupplierIn(Var("s", where=~Q(acctbal__lt=100) | Q(name__endswith="7")), V("n")),
+    NationIn(V("n", customer__order__totalprice__gt=1000), V("r")),
+]
+
+
+def _sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same patterns by the SQL text that the converter writes, over views in a session of their own."""
+    own = spark.newSession()
+    engine = world(own, sf_dir)
+    for kind in ENTITIES:
+        engine.table(kind).createOrReplaceTempView(kind.__name__)
+    for kind in [*REFERENCES, *RELATIONS]:
+        engine.stored(kind).createOrReplaceTempView(kind.__name__)
+    return own.sql(to_sql(_TEXT_PATTERNS, lambda kind: engine.table(kind).columns))
+
+
 def _hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = world(spark, sf_dir).query(CustomerIn(V("c", mktsegment="BUILDING"), V("n")))
     return df.select("c.pk", "c.c_name", "c.c_acctbal", F.col("n.pk").alias("n_pk"), "n.n_name")
@@ -212,8 +291,7 @@ def _materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
         rule(CustomerInRegion(V("c"), V("r")), CustomerIn(V("c"), V("n")) & NationIn(V("n"), V("r")))
         rule(RegionMates(V("a"), V("b")), NationIn(V("a"), V("r")) & NationIn(V("b"), V("r")))
         found = engine.materialize({NationIn: engine.stored(NationIn).where("object < 2")})
-    parts = [found[kind].select(F.lit(kind.__name__).alias("kind"), F.col("subject").cast("long"), F.col("object").cast("long")) for kind in (CustomerInRegion, RegionMates)]
-    return parts[0].union(parts[1])
+    return _shown(found, CustomerInRegion, RegionMates)
 
 
 def _scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,8 +328,20 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "where_or_not": (keys(CustomerIn(Var("c", where=~(Q(mktsegment="BUILDING") | Q(acctbal__lt=0))), V("n"))), f"SELECT {_C}, {_N} FROM customer WHERE NOT (c_mktsegment = 'BUILDING' OR c_acctbal < 0)"),
     "where_xor": (keys(CustomerIn(Var("c", where=Q(mktsegment="BUILDING") ^ Q(acctbal__lt=0)), V("n"))), f"SELECT {_C}, {_N} FROM customer WHERE (c_mktsegment = 'BUILDING') <> (c_acctbal < 0)"),
     "where_icontains": (keys(PartParent(V("p"), V("q", brand__icontains="#1"))), "SELECT p_partkey // 2 AS p, p_partkey AS q FROM part WHERE p_brand ILIKE '%#1%'"),
-    "where_regex": (keys(NationIn(V("n", name__regex="^[A-M]"), V("r", name__iendswith="a"))), "SELECT n_nationkey AS n, n_regionkey AS r FROM nation JOIN region ON n_regionkey = r_regionkey WHERE regexp_matches(n_name, '^[A-M]') AND r_name ILIKE '%a'"),
+    "where_regex": (keys(NationIn(V("n", name__regex="_1?[2-8]$"), V("r", name__iendswith="a"))), "SELECT n_nationkey AS n, n_regionkey AS r FROM nation JOIN region ON n_regionkey = r_regionkey WHERE regexp_matches(n_name, '_1?[2-8]$') AND r_name ILIKE '%a'"),
     "where_date_part": (keys(PlacedBy(V("o", orderdate__year=1995, orderdate__month__lte=6), V("c"))), "SELECT o_orderkey AS o, o_custkey AS c FROM orders WHERE year(o_orderdate) = 1995 AND month(o_orderdate) <= 6"),
+    "where_date_parts": (
+        keys(PlacedBy(Var("o", where=Q(orderdate__quarter=2, orderdate__week_day=1) | Q(orderdate__week=10, orderdate__day__lte=9) | Q(orderdate__date=datetime.date(1998, 10, 3), orderdate__hour=0, orderdate__minute=0, orderdate__second__lt=30)), V("c"))),
+        "SELECT o_orderkey AS o, o_custkey AS c FROM orders WHERE quarter(o_orderdate) = 2 AND dayofweek(o_orderdate) = 0 OR weekofyear(o_orderdate) = 10 AND day(o_orderdate) <= 9 OR o_orderdate::DATE = DATE '1998-10-03'",
+    ),
+    "where_lookups_text": (
+        keys(PartParent(V("p"), Var("q", where=Q(name__istartswith="RED", brand__regex="#1[0-9]$") | Q(type__iexact="small", name__iendswith="BOLT") | Q(name__iregex="^BLUE R", brand__endswith="7")))),
+        "SELECT p_partkey // 2 AS p, p_partkey AS q FROM part WHERE p_name ILIKE 'red%' AND regexp_matches(p_brand, '#1[0-9]$') OR lower(p_type) = 'small' AND p_name ILIKE '%bolt' OR p_name ILIKE 'blue r%' AND ends_with(p_brand, '7')",
+    ),
+    "where_m2m": (keys(PlacedBy(V("o", parts__size__lt=4, parts=Part(7)), V("c"))), "SELECT o_orderkey AS o, o_custkey AS c FROM orders WHERE EXISTS (SELECT 1 FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey = o_orderkey AND p_size < 4) AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_partkey = 7)"),
+    "where_isnull": (keys(PlacedBy(V("o", parts__isnull=True, customer__nation__isnull=False), V("c"))), "SELECT o_orderkey AS o, o_custkey AS c FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)"),
+    "where_reverse_2": (keys(NationIn(V("n", customer__order__totalprice__gt=499000, supplier__nation__region__name__contains="A"), V("r"))), "SELECT n_nationkey AS n, n_regionkey AS r FROM nation JOIN region ON r_regionkey = n_regionkey WHERE EXISTS (SELECT 1 FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = n_nationkey AND o_totalprice > 499000) AND EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey) AND contains(r_name, 'A')"),
+    "where_reverse_var": (keys(SupplierIn(V("s"), V("n", customer__order__in=[Var("o"), Order(3)])), PlacedBy(V("o", totalprice__gt=480000), V("c"))), f"SELECT DISTINCT {_S}, s_nationkey AS n, o.o_orderkey AS o, o.o_custkey AS c FROM supplier, orders o WHERE o.o_totalprice > 480000 AND EXISTS (SELECT 1 FROM customer JOIN orders x ON x.o_custkey = c_custkey WHERE c_nationkey = s_nationkey AND x.o_orderkey IN (o.o_orderkey, 3))"),
     "where_fk_path": (keys(CustomerIn(V("c", nation__region__name="ASIA"), V("n"))), f"SELECT {_C}, {_N} FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'"),
     "where_reverse_path": (keys(NationIn(V("n", supplier__acctbal__gt=9000), V("r"))), "SELECT n_nationkey AS n, n_regionkey AS r FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000)"),
     "join_2": (keys(CustomerIn(V("c"), V("n")) & NationIn(V("n"), V("r"))), f"SELECT {_C}, {_N}, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey"),
@@ -275,13 +365,21 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "rule_constants": (derived(RegionMates(V("a"), V("b")), (RegionMates(V("a"), Nation(7)), NationIn(V("a"), Region(2))), (RegionMates(Nation(1), Nation(2)), ())), "SELECT n_nationkey AS a, 7 AS b FROM nation WHERE n_regionkey = 2 UNION SELECT 1, 2"),
     "rule_unsafe": (derived(RegionMates(V("a"), V("b")), (RegionMates(V("a"), V("zz")), NationIn(V("a"), V("r")))), "SELECT n_nationkey AS a, n_nationkey AS b FROM nation WHERE FALSE"),
     "rule_scoped": (_scoped, "SELECT x.n_nationkey AS a, y.n_nationkey AS b, 'inside' AS scope FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey"),
+    "rule_nested_or": (derived(TradesIn(V("t"), V("n")), (TradesIn(V("t"), V("n")), (CustomerIn(V("t"), V("n")), [NationIn(V("n"), Region(1)), (NationIn(V("n"), V("r")), NationIn(Nation(3), V("r")))]))), f"SELECT c_custkey AS t, {_N} FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1 OR n_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey = 3)"),
     "rec_ancestor": (derived(Ancestor(V("a"), V("d")), *_ANCESTOR), _TREE + "SELECT a, b AS d FROM t"),
     "rec_ancestor_nonlinear": (derived(Ancestor(V("a"), V("d")), *_CLOSURE), _TREE + "SELECT a, b AS d FROM t"),
     "rec_from_const": (derived(Ancestor(Part(5), V("d")), *_ANCESTOR), _TREE + "SELECT b AS d FROM t WHERE a = 5"),
+    "rec_where": (derived(Ancestor(V("a", size__gt=45), V("d", brand="Brand#7")), *_ANCESTOR), _TREE + "SELECT a, b AS d FROM t JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b WHERE x.p_size > 45 AND y.p_brand = 'Brand#7'"),
     "rec_mutual": (derived(EvenDepth(V("a"), V("d")), *_PARITY), "WITH RECURSIVE e AS (SELECT p_partkey // 2 AS a, p_partkey AS b FROM part), t AS (SELECT a, b, 1 AS odd FROM e WHERE b IN (SELECT a FROM e) UNION SELECT t.a, e.b, 1 - t.odd FROM t JOIN e ON t.b = e.a) SELECT a, b AS d FROM t WHERE odd = 0"),
     "store_idempotent": (_store_idempotent, f"SELECT {_S}, s_nationkey AS n FROM supplier"),
     "store_new": (_store_new, "SELECT n_nationkey AS n, n_regionkey AS r FROM nation UNION SELECT 100, 1 UNION SELECT 3, 1"),
     "retract": (_retract, f"SELECT {_S}, s_nationkey AS n FROM supplier WHERE s_nationkey <> 3"),
+    "store_again": (_store_again, f"SELECT {_S}, s_nationkey AS n FROM supplier WHERE s_nationkey >= 9 UNION ALL SELECT s_suppkey + 1000000, 2 FROM supplier WHERE s_nationkey = 10 UNION ALL SELECT 1000, 3"),
+    "unbound_ignore": (_unbound, f"SELECT {_C}, {_N} FROM customer WHERE c_mktsegment = 'BUILDING'"),
+    "targeted_rules": (_targeted, "WITH RECURSIVE e AS (SELECT p_partkey // 2 AS a, p_partkey AS b FROM part), t AS (SELECT a, b FROM e UNION SELECT p_partkey + 10000000, p_partkey FROM part WHERE p_partkey < 10 UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT 'Ancestor' AS kind, a AS subject, b AS object FROM t"),
+    "facts_from_list": (_from_list, "WITH RECURSIVE e AS (SELECT * FROM (VALUES (1, 1), (1, 2), (2, 1), (2, 2), (2, 9), (9, 8)) x(a, b)), t AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT 'RegionMates' AS kind, a::BIGINT AS subject, b::BIGINT AS object FROM t"),
+    "sql_text": (_sql_text, f"SELECT DISTINCT {_C}, {_N}, s_suppkey AS s, n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE r_name LIKE 'A%' AND (s_acctbal >= 100 OR s_name LIKE '%7') AND EXISTS (SELECT 1 FROM customer x JOIN orders ON o_custkey = x.c_custkey WHERE x.c_nationkey = n_nationkey AND o_totalprice > 1000)"),
+    "variable_names": (keys(CustomerIn(Var("Cust-Id"), Var("nation key")), NationIn(Var("nation key"), Region(2))), 'SELECT c_custkey AS "Cust-Id", c_nationkey AS "nation key" FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2'),
     "hydrate": (_hydrate, "SELECT c_custkey AS pk, c_name, c_acctbal, n_nationkey AS n_pk, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'"),
     "materialize": (_materialize, "SELECT 'CustomerInRegion' AS kind, c_custkey AS subject, n_regionkey::BIGINT AS object FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey < 2 UNION ALL SELECT 'RegionMates', x.n_nationkey::BIGINT, y.n_nationkey::BIGINT FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey WHERE x.n_regionkey < 2"),
     "co_included": (derived(CoIncluded(V("a"), V("b")), (CoIncluded(V("a"), V("b")), Includes(V("o"), V("a")) & Includes(V("o"), V("b")))), "SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey"),

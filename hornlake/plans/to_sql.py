@@ -5,6 +5,7 @@ Fact types are tables or views (subject, object) named by their type; entity typ
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from itertools import count
 from typing import Any
@@ -106,28 +107,27 @@ class _Writer:
         return f"NOT coalesce({out}, FALSE)" if q.negated else out
 
     def leaf(self, entity: type[Entity], key: str, path: str, value: Any, bound: dict[str, str]) -> str:
+        """One EXISTS over the entities along the path.  Outer joins keep rows that lead nowhere, which a null test accepts."""
         p = Path(entity, path, self.columns)
-        n = f"e{next(self.numbers)}"
-        joins, alias, at = [f"{entity.__name__} {n}"], n, entity
-        for column, target in p.forward:
+        first = alias = f"e{next(self.numbers)}"
+        joins, at, crossed = [f"{entity.__name__} {first}"], entity, bool(p.forward or p.far)
+        while True:
+            for column, target in p.forward:
+                nxt = f"e{next(self.numbers)}"
+                joins.append(f"LEFT JOIN {target.__name__} {nxt} ON {nxt}.{target.key} = {alias}.{column}")
+                alias, at = nxt, target
+            if p.far is None:
+                break
+            other, back, _ = p.far
             nxt = f"e{next(self.numbers)}"
-            joins.append(f"JOIN {target.__name__} {nxt} ON {nxt}.{target.key} = {alias}.{column}")
-            alias, at = nxt, target
-        column, lookup = f"{alias}.{p.column}", p.lookup
-        if p.far:
-            other, back, far_column = p.far
-            nxt = f"e{next(self.numbers)}"
-            joins.append(f"JOIN {other.__name__} {nxt} ON {nxt}.{back} = {alias}.{at.key}")
-            if p.rest:
-                inside = self.leaf(other, f"{nxt}.{other.key}", p.rest, value, bound)
-                return f"EXISTS (SELECT 1 FROM {' '.join(joins)} WHERE {n}.{entity.key} = {key} AND {inside})"
-            column = f"{nxt}.{far_column}"
+            joins.append(f"LEFT JOIN {other.__name__} {nxt} ON {nxt}.{back} = {alias}.{p.column}")
+            alias, at, p = nxt, other, Path(other, p.rest, self.columns)
+        if not crossed and not p.transforms and p.column == entity.key:
+            return self.compare(key, p.lookup, value, bound)
+        column = f"{alias}.{p.column}"
         for name in p.transforms:
             column = f"{ {'week_day': 'dayofweek', 'week': 'weekofyear', 'date': 'date'}.get(name, name)}({column})"
-        test = self.compare(column, lookup, value, bound)
-        if not p.forward and not p.far and p.column == entity.key:
-            return self.compare(key, lookup, value, bound)
-        return f"EXISTS (SELECT 1 FROM {' '.join(joins)} WHERE {n}.{entity.key} = {key} AND {test})"
+        return f"EXISTS (SELECT 1 FROM {' '.join(joins)} WHERE {first}.{entity.key} = {key} AND {self.compare(column, p.lookup, value, bound)})"
 
 
 def to_sql(patterns: list[Fact], columns=None) -> str:
@@ -148,7 +148,8 @@ def to_sql(patterns: list[Fact], columns=None) -> str:
             if v.entity is None:
                 raise ValueError(f"variable {name!r} is constrained, but no pattern says its entity type")
             where.append(writer.tree(v.entity, names[name], q, names))
-    shown = ", ".join(f"{column} AS {name}" for name, column in names.items()) or "1 AS found"
+    quoted = lambda name: name if re.fullmatch(r"[A-Za-z]\w*", name) else f'"{name}"'
+    shown = ", ".join(f"{column} AS {quoted(name)}" for name, column in names.items()) or "1 AS found"
     return f"SELECT DISTINCT {shown}\nFROM {', '.join(sources)}" + ("\nWHERE " + "\n  AND ".join(where) if where else "")
 
 

@@ -1,13 +1,15 @@
 """Small worlds with known answers."""
 
 import random
+import re
 
 import pytest
 
 from hornlake import Bridge, Engine, Entity, Fact, Q, Var, analyze_query_patterns, convert_to_sql, rule, rule_context
-from hornlake.cli import main, parse_patterns
+from hornlake.cli import EXAMPLES, main, parse_patterns
 from hornlake.functions.predicates import Unbound
 from hornlake.plans.to_sql import to_sql
+from hornlake.sources import storage
 
 
 class Person(Entity):
@@ -187,6 +189,102 @@ def test_cross_variable_constraints(firm):
     assert active.count() == 9
 
 
+def test_paths_over_several_relations(spark):
+    e, make = Engine(spark), spark.createDataFrame
+    e.entity(Company, make([(1, "Tech"), (2, "Old"), (3, "New")], "id long, name string"))
+    e.entity(Department, make([(1, 1, 5), (2, 2, None)], "id long, company_id long, budget int"))
+    e.entity(Employee, make([(1, 1, 1, True), (2, 2, 2, False), (3, None, None, False)], "id long, company_id long, department_id long, is_manager boolean"))
+    e.entity(Project, make([(1, 1, "A"), (2, 2, "B"), (3, 2, "C")], "id long, company_id long, name string"))
+    e.entity(Assignment, make([(1, 1, 1), (2, 2, 1), (3, 2, 2)], "id long, employee_id long, project_id long"))
+    e.relation(WorksFor, make([(1, 1), (2, 2), (3, 3)], "subject long, object long"))
+    e.relation(WorksOn, make([(1, 1), (2, 2), (2, 3)], "subject long, object long"))
+    for kind in (Company, Department, Employee, Project, Assignment):
+        e.table(kind).createOrReplaceTempView(kind.__name__)
+    for kind in (WorksFor, WorksOn):
+        e.stored(kind).createOrReplaceTempView(kind.__name__)
+
+    def ask(q, side="c"):
+        patterns = [WorksFor(Var("e", where=q if side == "e" else None), Var("c", where=q if side == "c" else None))]
+        got = rows(e.query(*patterns, hydrate=False))
+        assert rows(spark.sql(to_sql(patterns, lambda k: e.table(k).columns))) == got
+        return got
+
+    assert ask(Q(department__employee__id__lt=2)) == ask(Q(department__employee__is_manager=True)) == [(1, 1)]
+    assert ask(Q(department__employee__department__budget=None)) == [(2, 2), (3, 3)] and ask(Q(department__isnull=True)) == [(3, 3)]
+    assert ask(~Q(department__employee=1)) == [(2, 2), (3, 3)] and ask(Q(department__employee=Var("e"))) == [(1, 1), (2, 2)]
+    assert ask(Q(project__employees__department__company=Var("c"))) == [(1, 1), (2, 2)] and ask(Q(project__employees__id__in=[1])) == [(1, 1)]
+    assert ask(Q(company__name=None), "e") == [(3, 3)] and ask(Q(company__name__isnull=True) | Q(assignment__project__name="B"), "e") == [(2, 2), (3, 3)]
+    assert rows(e.query(WorksOn(Var("x"), Var("p", where=Q(employees__isnull=True))), hydrate=False)) == [(2, 3)]
+
+
+def test_names_of_variables(family):
+    got = family.query(ParentOf(Var("a.b"), Var("X`")), ParentOf(Var("X`"), Var("x`")), hydrate=False)
+    assert got.columns == ["a.b", "X`", "x`"] and rows(got) == [(JOHN, ALICE, BOB), (JOHN, ALICE, CHARLIE)]
+    assert [b["a.b"]["name"] for b in family.iter(ParentOf(Var("a.b"), BOB))] == ["Alice"]
+    ages = family.query(ParentOf(Var("the parent", where=Q(age__gt=50)), Var("The Parent")), hydrate=False)
+    assert rows(ages) == [(JOHN, ALICE)]
+
+
+def test_given_facts_of_inferred_types(family, spark):
+    with rule_context():
+        rule(Ancestor(Var("x"), Var("y")), ParentOf(Var("x"), Var("y")))
+        rule(Ancestor(Var("x"), Var("z")), Ancestor(Var("x"), Var("y")) & ParentOf(Var("y"), Var("z")))
+        rule(SiblingOf(Var("x"), Var("y")), Ancestor(Var("z"), Var("x")) & GrandparentOf(Var("z"), Var("y")))
+        base = {Ancestor: spark.createDataFrame([(7, 8), (9, JOHN)], "subject long, object long"), GrandparentOf: spark.createDataFrame([(7, 5)], "subject long, object long")}
+        found = family.materialize(base)
+        assert {(7, 8), (9, 1), (9, 2), (9, 3), (9, 4), (1, 3)} <= set(rows(found[Ancestor])) and len(rows(found[Ancestor])) == 10
+        assert rows(found[SiblingOf]) == [(8, 5)] and rows(found[GrandparentOf]) == [(7, 5)]
+        listed = family.materialize([ParentOf(1, 2), ParentOf(2, 3), Ancestor(3, 9)])
+        assert rows(listed[Ancestor]) == [(1, 2), (1, 3), (2, 3), (3, 9)] and rows(listed[ParentOf]) == [(1, 2), (2, 3)]
+        with pytest.raises(ValueError, match="ground"):
+            family.materialize([ParentOf(1, Var("x"))])
+
+
+def test_limits_are_pushed_into_recursion(spark):
+    e = Engine(spark)
+    e.entity(Person, spark.createDataFrame([(i, i) for i in range(15)], "id long, age int"))
+    e.relation(ParentOf, spark.createDataFrame([(i, i + 1) for i in range(14)], "subject long, object long"), unique=True)
+    with rule_context():
+        rule(Ancestor(Var("x"), Var("y")), ParentOf(Var("x"), Var("y")))
+        rule(Ancestor(Var("x"), Var("z")), Ancestor(Var("x"), Var("y")) & ParentOf(Var("y"), Var("z")))
+        few = e.query(Ancestor(Var("a", where=Q(age__gte=12)), Var("b", where=Q(age__lt=14))), hydrate=False)
+        assert rows(few) == [(12, 13)]
+        assert all(df.count() == 3 for key, df in e._inference().done.items()) and len(e._inference().done) == 1
+        assert e.query(Ancestor(Var("a"), Var("b")), hydrate=False).count() == 14 * 15 // 2
+        again = e._inference()
+        assert e.query(Ancestor(Var("a"), 14), hydrate=False).count() == 14 and e._inference() is again
+    e.store_facts(ParentOf(14, 15))
+    assert e._inference() is not again
+
+
+def test_storage_adds_and_deletes_segments(spark, monkeypatch):
+    monkeypatch.setattr(storage, "DELETES", 3)
+    e = Engine(spark)
+    for i in range(5):
+        e.store_facts(*(ParentOf(i, j) for j in range(3)))
+        e.retract_facts(ParentOf(i, 0), ParentOf(i, 7))
+    e.store_facts(ParentOf(3, 0), ParentOf(3, 1))
+    assert rows(e.stored(ParentOf)) == sorted({(i, j) for i in range(5) for j in (1, 2)} | {(3, 0)})
+    assert sum(s.startswith("-") for s in e._tables[ParentOf].segments) < 3
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans(spark, tmp_path):
+    from hornlake.plans import catalogue
+
+    for name, rows_ in {"region": "id r_regionkey, 'ASIA' r_name", "nation": "id n_nationkey, 'N' n_name, id % 5 n_regionkey", "customer": "id c_custkey, 'C' c_name, id % 9 c_nationkey, 1.0D c_acctbal, 'MACHINERY' c_mktsegment", "supplier": "id s_suppkey, 'S' s_name, id % 9 s_nationkey, 1.0D s_acctbal"}.items():
+        spark.range(9).selectExpr(*rows_.split(", ")).write.parquet(str(tmp_path / f"{name}.parquet"))
+    plan = lambda name: physical(catalogue.QUERIES[name](spark, str(tmp_path)))
+    assert plan("where_eq").count("FileScan parquet") == 1 and "PushedFilters: [IsNotNull(c_mktsegment)" in plan("where_eq")
+    assert plan("where_fk_path").count("FileScan parquet") == 3
+    mixed = catalogue.QUERIES["cross_in_mixed"](spark, str(tmp_path))
+    products = re.findall("Join Cross\n", mixed._jdf.queryExecution().optimizedPlan().toString())
+    assert len(products) == 1  # the constant's branch, whose result is one
+
+
 def test_rule_body_constraints_are_enforced(firm):
     with rule_context():
         dept = Var("d2", where=Q(company=Var("company")))
@@ -243,13 +341,21 @@ def test_analysis_and_sql(firm, spark):
         assert rows(spark.sql(to_sql(list(patterns), columns))) == rows(firm.query(*patterns, hydrate=False))
 
 
-def test_command_line(tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
     source = tmp_path / "q.py"
     source.write_text("query(WorksFor(Var('emp'), Var('company')), WorksOn(Var('emp'), Var('p', where=Q(company=Var('company')))))\n")
     assert len(parse_patterns(source.read_text())[0]) == 2
     for shape in ("code", "json", "markdown"):
         out = tmp_path / shape
         assert main(["--file", str(source), "--format", shape, "--output", str(out)]) == 0 and "WorksFor" in out.read_text()
+    source.write_text("query(SupplierIn(Var('s', where=Q(nation__region__name='ASIA', acctbal__gt=1.5, opened__year=1999)), Var('n')))\n")
+    assert main(["--file", str(source), "--explain"]) == 0 and "Join" in capsys.readouterr().out
+    for number, text in EXAMPLES.items():
+        said = iter([number, "query(", ""])
+        monkeypatch.setattr("builtins.input", lambda _, said=said: next(said))
+        assert main(["--interactive"]) == 0
+        shown = capsys.readouterr().out
+        assert text.split("(")[1] in shown and "not understood" in shown
     assert main(["--analyze"]) == 0 and "CROSS_VARIABLE" in capsys.readouterr().out
     assert main(["--file", str(tmp_path / "none.py")]) == 2
 

@@ -2,73 +2,36 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import storage
+from ..sources.storage import new_dir, release, shared_dir  # noqa: F401  the operators' way to the shared folder
+
 #: A key is hot when it holds at least 1/HOT of all rows, so there are at most HOT hot keys.
 HOT = 1000
 
 #: The ASCII white space that the contracts name, `[\x20\x09-\x0D]`.
 WHITE = " \t\n\x0b\x0c\r"
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-        found = os.path.dirname(found) if found else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="hornlake-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def release() -> None:
-    """Delete every staged table of this process; results that were not yet read become unreadable."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may already be gone at exit
-            return
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A fresh shared folder, removed when the process ends or on release()."""
-    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}/{name}"
-    _made.append((spark, path.rsplit("/", 1)[0]))
-    return path
-
 
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there, and a lost executor costs one read."""
-    path = new_dir(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    path, out = storage.stage(df, name, codec)
     out._staged = path  # noqa: SLF001
     return out
 
 
+def stage_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """stage(), and the number of rows, which the write itself counts."""
+    path, out, n = storage.stage_counted(df, name)
+    out._staged = path  # noqa: SLF001
+    return out, n
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that nothing will read again."""
-    path = df._staged.rsplit("/", 1)[0]  # noqa: SLF001
-    _delete(df.sparkSession, path)
-    _made[:] = [x for x in _made if x[1] != path]
+    storage.delete(df.sparkSession, df._staged)  # noqa: SLF001
 
 
 def text_of(name: str = "text") -> Column:

@@ -2,7 +2,8 @@
 
 A segment tree stands over the adjacent pairs of a pre-token.  Each leaf holds the pair's merge rank and place,
 each inner node the smaller child, so the root is the leftmost pair of lowest rank.  A merge changes three leaves,
-each repaired in logarithmic time; it ends when the root holds no mergeable pair.  Ids equal the tokenizers library's.
+each repaired up to the root in logarithmic time; it ends when the root holds no mergeable pair.  Ids equal the tokenizers
+library's.
 """
 
 from __future__ import annotations
@@ -18,10 +19,6 @@ from pyspark.sql import DataFrame
 from .tokens import DEFAULT_TOKENIZER, byte_alphabet, is_simple, library_tokenizer, vocabulary
 
 
-#: Children of a tree node, as a power of two: the smallest of 32 neighbours is found in one call.
-_BITS = 5
-
-
 def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Merge `symbols` until no adjacent pair is in `merges`, which gives a pair's rank and the merged symbol."""
     n = len(symbols)
@@ -29,37 +26,38 @@ def merge_symbols(symbols: list[int], merges: dict[tuple[int, int], tuple[int, i
         return symbols
     get = merges.get
     none = len(merges) * n + n  # above every rank * n + place
-    leaves = [found[0] * n + i if (found := get(pair)) else none for i, pair in enumerate(zip(symbols, symbols[1:], strict=False))]
-    tree = [leaves]
-    while len(tree[-1]) > 1 << _BITS:
-        tree.append([min(tree[-1][i : i + (1 << _BITS)]) for i in range(0, len(tree[-1]), 1 << _BITS)])
-    root, inner = tree[-1], tree[1:]
+    size = 1 << (n - 2).bit_length()
+    tree = [none] * (2 * size)  # the root is tree[1], the children of tree[i] are tree[2 * i] and tree[2 * i + 1]
+    tree[size : size + n - 1] = [found[0] * n + i if (found := get(pair)) else none for i, pair in enumerate(zip(symbols, symbols[1:], strict=False))]
+    for i in range(size - 1, 0, -1):
+        a, b = tree[2 * i], tree[2 * i + 1]
+        tree[i] = a if a < b else b
     symbols = list(symbols)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while (least := min(root)) < none:
+    while (least := tree[1]) < none:
         i = least % n
         j = after[i]
         symbols[i] = merged = merges[symbols[i], symbols[j]][1]
         symbols[j] = -1
         after[i] = k = after[j]
+        changed = [(i, found[0] * n + i if k < n and (found := get((merged, symbols[k]))) else none)]
         if j < n - 1:
-            leaves[j] = none
+            changed.append((j, none))
         if k < n:
             before[k] = i
-            leaves[i] = found[0] * n + i if (found := get((merged, symbols[k]))) else none
-        else:
-            leaves[i] = none
         if (k := before[i]) >= 0:
-            leaves[k] = found[0] * n + k if (found := get((symbols[k], merged))) else none
-        if inner:
-            for at in {x >> _BITS for x in (j, i, k) if 0 <= x < n - 1}:
-                below = leaves
-                for level in inner:
-                    value = min(below[at << _BITS : (at + 1) << _BITS])
-                    if level[at] == value:
-                        break
-                    level[at] = value
-                    below, at = level, at >> _BITS
+            changed.append((k, found[0] * n + k if (found := get((symbols[k], merged))) else none))
+        for place, value in changed:
+            at = size + place
+            tree[at] = value
+            while at > 1:
+                at >>= 1
+                a, b = tree[2 * at], tree[2 * at + 1]
+                if a > b:
+                    a = b
+                if tree[at] == a:
+                    break
+                tree[at] = a
     return [x for x in symbols if x >= 0]
 
 
@@ -147,7 +145,11 @@ def bpe(name: str = DEFAULT_TOKENIZER) -> Bpe:
 
 
 def encode_documents(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """doc_id, ids: the ids of each row's whole text.  Null and empty texts give an empty list; repeated rows repeat."""
+    """doc_id, ids: the ids of each row's whole text, whatever its length.
+
+    Null and empty texts give an empty list; null ids stay null; repeated rows repeat; an empty table gives no rows; other
+    columns are not read, so their names may clash with ours.  Of pairs of equal rank the leftmost merges first.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -163,7 +165,7 @@ def encode_documents(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> Dat
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """doc_id, text from doc_id, ids.  Null ids give an empty text."""
+    """doc_id, text from doc_id, ids.  Null ids give an empty text; repeated rows repeat; an empty table gives no rows."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -179,8 +181,8 @@ def decode_documents(encoded: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) ->
 def round_trip(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row: encoded, then decoded from those ids, in one pass.
 
-    Null and empty texts have no ids and decode to the empty text; a null doc_id stays null; repeated rows repeat;
-    other columns are not read.
+    Texts of any length are read whole.  Null and empty texts have no ids and decode to the empty text; a null doc_id
+    stays null; repeated rows repeat; an empty table gives no rows; other columns are not read, so their names may clash.
     """
 
     def run(batches: Iterator) -> Iterator:

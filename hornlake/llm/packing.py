@@ -1,7 +1,7 @@
 """Operator 6: best-fit packing by non-negative least squares over length patterns.
 
-The histogram of piece lengths has at most `room` bins whatever the input.  Patterns are multisets of up to PATTERN
-lengths that fill a sequence exactly; NNLS fits how often each repeats; repeats are rounded down to what the histogram holds
+The histogram of piece lengths has at most `room` bins whatever the input.  Patterns fill a sequence exactly: all multisets
+of three lengths, and all repeats of one length with one other piece or none; NNLS fits how often each is used; repeats are rounded down to what the histogram holds
 and the residual is packed best fit, longest first, on counts.  The plan is a bounded table of runs: the r-th to s-th
 piece of a length stand at some offset of consecutive sequences.  Each piece then finds its run by its rank among the
 pieces of its length, which comes from counts by task and a running sum, never from one task that sees all pieces.
@@ -19,41 +19,45 @@ from pyspark.sql import functions as F
 from .common import stage
 from .tokens import DEFAULT_TOKENIZER, packed_encoder
 
-#: Lengths in a pattern at most; multiplicative NNLS steps; patterns kept with each length in turn.
-PATTERN, STEPS, COMMON = 3, 300, 160
+#: Multiplicative NNLS steps.
+STEPS = 300
 
 
-def nnls(columns: np.ndarray, weights: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """x >= 0 that makes sum of columns' unit vectors times x close to weights, by multiplicative updates.
+def nnls(lengths: np.ndarray, times: np.ndarray, weights: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """x >= 0 that makes the sum of x times the patterns close to `weights`, by multiplicative updates.
 
-    columns[p] lists the bins of pattern p, padded with the last bin, whose weight is not fitted.
+    lengths[p], times[p]: the lengths in pattern p and how often each stands there, 0 for none; weights by length.
     """
-    bins = len(weights) + 1
-    fitted = np.append(weights.astype(float), 0.0)
-    on = (columns < bins - 1).astype(float)
-    towards = (fitted[columns] * on).sum(1)
-    x = np.minimum.reduce(np.where(on > 0, fitted[columns], np.inf), axis=1) / max(1, len(columns) / bins)
+    weights = weights.astype(float)
+    towards = (weights[lengths] * times).sum(1)
+    x = np.min(np.where(times > 0, weights[lengths] / np.maximum(times, 1), np.inf), axis=1) / max(1, len(lengths) / len(weights))
     for _ in range(steps):
-        made = np.bincount(columns.ravel(), (x[:, None] * on).ravel(), bins)
-        x *= towards / np.maximum((made[columns] * on).sum(1), 1e-9)
+        made = np.bincount(lengths.ravel(), (x[:, None] * times).ravel(), len(weights))
+        x *= towards / np.maximum((made[lengths] * times).sum(1), 1e-9)
     return x
 
 
-def exact_patterns(counts: np.ndarray, room: int) -> np.ndarray:
-    """Rows of lengths, descending and padded with 0, that sum to room: all pairs, and triples with a common length."""
-    there = np.flatnonzero(counts)
-    there = there[(there > 0) & (there < room)]
+def exact_patterns(counts: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths and times of every pattern: three lengths (about room^2 / 12), or k of one length and one of another.
+
+    Only lengths that occur are used.
+    """
     has = np.zeros(room + 1, bool)
-    has[there] = True
-    rows = [(a, room - a, 0) for a in there.tolist() if a >= room - a and has[room - a]]
-    common = there[np.argsort(-counts[there], kind="stable")][:COMMON].tolist()
-    seen = set()
-    for a in common:
-        for b in there[there < room - a].tolist():
-            c = room - a - b
-            if c > 0 and has[c]:
-                seen.add(tuple(sorted((a, b, c), reverse=True)))
-    return np.array([*rows, *sorted(seen)], np.int64).reshape(-1, 3)
+    has[1:room] = counts[1:room] > 0
+    there = np.flatnonzero(has)
+    rows, times = [np.zeros((0, 3), np.int64)], [np.zeros((0, 3), np.int64)]
+    for a in there.tolist():
+        k = np.arange(1, room // a + 1)
+        b = room - k * a
+        keep = has[b] & (b != a) & ((k > 1) | (b < a)) | (b == 0)
+        k, b = k[keep], b[keep]
+        rows.append(np.stack([np.full(len(k), a), b, np.zeros_like(k)], 1))
+        times.append(np.stack([k, (b > 0).astype(np.int64), np.zeros_like(k)], 1))
+        b = there[(there < a) & (2 * there > room - a) & (there < room - a)]
+        b = b[has[room - a - b]]
+        rows.append(np.stack([np.full(len(b), a), b, room - a - b], 1))
+        times.append(np.ones((len(b), 3), np.int64))
+    return np.concatenate(rows), np.concatenate(times)
 
 
 def plan(histogram: dict[int, int], room: int) -> list[tuple[int, int, int, int, int]]:
@@ -76,16 +80,15 @@ def plan(histogram: dict[int, int], room: int) -> list[tuple[int, int, int, int,
 
     if counts[room]:
         put([room], int(counts[room]))
-    patterns = exact_patterns(np.where(np.arange(room + 1) < room, counts, 0), room)
+    patterns, often = exact_patterns(counts, room)
     if len(patterns):
-        bins = np.where(patterns > 0, patterns - 1, room)
-        x = nnls(bins, counts[1:])
-        for p in np.argsort(-x, kind="stable"):
-            lengths = [v for v in patterns[p].tolist() if v]
-            need = {v: lengths.count(v) for v in lengths}
-            times = min(int(x[p]), *(int(counts[v] - used[v]) // k for v, k in need.items()))
+        x = nnls(patterns, often, np.where(np.arange(room + 1) < room, counts, 0))
+        order = np.argsort(-x, kind="stable")
+        for p in order[: int((x >= 1).sum())]:
+            need = [(v, k) for v, k in zip(patterns[p].tolist(), often[p].tolist(), strict=True) if k]
+            times = min(int(x[p]), *(int(counts[v] - used[v]) // k for v, k in need))
             if times > 0:
-                put(lengths, times)
+                put([v for v, k in need for _ in range(k)], times)
     # Residual: best fit decreasing on counts. Open bins by room left hold (sequences, first sequence, fill) blocks.
     left: dict[int, list[tuple[int, int]]] = {}
     spaces: list[int] = []
@@ -155,7 +158,9 @@ def pack_documents(docs: DataFrame, room: int = 1024, tokenizer: str = DEFAULT_T
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row.
 
     A document is its ids and `end_id`; one longer than `room` is cut into pieces of `room`, the first of which may be
-    shorter.  Null and empty texts are the end id alone; null doc_ids and repeated rows are packed like others.
+    shorter.  Null and empty texts are the end id alone; null doc_ids and repeated rows are packed like others; texts of any
+    length are read whole; equal lengths are interchangeable, their order is that of the tasks; an empty table gives no
+    rows; other columns are not read, so their names may clash with ours.
     """
     pieces = stage(_pieces(docs, room, tokenizer, end_id), "pieces")
     by_task = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))

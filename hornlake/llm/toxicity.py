@@ -225,12 +225,15 @@ def _learn_lexicon(sample: DataFrame) -> dict[str, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
-    """Fit on at most `rows` labelled rows, none of them held out: three quarters grow trees, one calibrates them.
+    """Fit on at most `rows` labelled rows, none of them held out.
 
-    Without labelled rows, or with labels of one kind, the score is a constant: the share of toxic labels, or 0.
+    Three quarters of them give the lexicon and the trees, the others only calibrate, so no feature of theirs has seen
+    their labels.  Without labelled rows, or with labels of one kind, the score is a constant: the share of toxic labels, or
+    0.  Null texts count as empty; a doc_id labelled twice is toxic if any label says so; rows that share a labelled doc_id
+    are all labelled.
     """
     sample = stage(_sample(docs, labels, rows), "labelled")
-    lexicon = _learn_lexicon(sample)
+    lexicon = _learn_lexicon(sample.filter(F.crc32(F.concat(F.lit("fold "), F.col("doc_id").cast("string")).cast("binary")) % 4 != 0))
 
     def measure(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -269,13 +272,22 @@ def _scorer(model: Model, text: str, score: str):
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; null and empty texts are scored as texts without words."""
+    """doc_id, held_out, score, predicted of every row.
+
+    Null and empty texts are scored as texts without words; texts of any length are read whole; null ids stay null and are
+    not held out; repeated rows repeat; a score of exactly 0.5 is predicted 1; an empty table gives no rows; other columns
+    are not read, so their names may clash with ours.
+    """
     scored = docs.select("doc_id", "text").mapInArrow(_scorer(model, "text", "__score"), "doc_id long, text string, __score double")
     return scored.select("doc_id", is_held_out("doc_id").alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows, in all columns of `docs`, whose score is below `least`."""
+    """The rows, in all columns of `docs`, whose score is below `least`; a score of `least` goes.
+
+    Null texts are scored as empty ones and stay null; repeated rows repeat; an empty table stays empty; other columns may
+    have any names.
+    """
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots don't pass mapInArrow
     schema = StructType([*plain.schema.fields, StructField("score", DoubleType())])
     scored = plain.mapInArrow(_scorer(model, plain.columns[docs.columns.index("text")], "score"), schema)

@@ -6,7 +6,8 @@ sets of moves are ranked once by expected squared border distances, and mapped f
 Candidates of all tables are merged, then ranked by exact distance in double precision on the original vectors.
 
 Rows are dealt to blocks of at most about BLOCK_ROWS and queries to groups of QUERY_ROWS; a task holds the tables of one
-block and answers one group, returning no more than `k` rows a query.  Among equal vectors only the k + 1 smallest ids can
+block and answers one group, returning no more than `k` rows a query.  Queries whose buckets hold fewer than `k` candidates
+are answered by a scan, in the same blocks.  Among equal vectors only the k + 1 smallest ids can
 be answers, so the others are left out before the blocks are made, which keeps the result whole and takes heat away.
 """
 
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, stage_counted
 
 #: Tables, projections in each, and the cell width as a multiple of the typical distance between a vector and its
 #: nearest neighbour in a sample.  Buckets visited start from PROBES and double until the sample's recall is AIM; a
@@ -78,8 +79,18 @@ class Hashes:
         return keys[:, :, None] + np.einsum("qtm,pm->qtp", sorted_moves, self.sets)
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, hashes: Hashes, k: int) -> tuple[list, np.ndarray]:
-    """(query_id, vec_id, distance) of each query's k nearest candidates in the block, and candidates a query."""
+def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, hashes: Hashes | None, k: int) -> tuple[list, np.ndarray]:
+    """(query_id, vec_id, distance) of each query's k nearest candidates in the block, and candidates a query.
+
+    Without hashes every row is a candidate.
+    """
+    if hashes is None:
+        out = []
+        for q, query in zip(query_ids.tolist(), queries, strict=True):
+            far = np.sqrt(((vectors - query) ** 2).sum(1))
+            far[ids == q] = np.inf
+            out += [(q, int(ids[b]), float(far[b])) for b in np.lexsort((ids, far))[:k] if far[b] < np.inf]
+        return out, np.full(len(queries), len(ids))
     keys, _ = hashes.cells(vectors)
     order = np.argsort(keys, 0, kind="stable")
     sorted_keys = np.take_along_axis(keys, order, 0)
@@ -155,7 +166,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, id_col
 
     Vectors that are null, zero, of no dimension, or hold null or non-finite components take no part, nor do rows with a
     null id; among dimensions the most frequent one takes part.  Rows that repeat an id with the same vector are one
-    row.  Ties go to the smaller id.  With no vectors the result is empty.
+    row.  Ties go to the smaller id.  With no vectors the result is empty; other columns are not read, so their names may
+    clash with ours.
     """
     spark = vectors.sparkSession
     v = F.col("v")
@@ -187,20 +199,30 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, id_col
 
     blocks, groups = -(-n_rows // BLOCK_ROWS), max(1, -(-n_queries // QUERY_ROWS))
     dealt = lambda column, n, salt: F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(n)).cast("int")
-    held = few.select(dealt("id", blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "id", "v")
-    asked = rows.filter(is_query).distinct().select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), dealt("id", groups, 2).alias("group"), "id", "v")
-
-    def answer(key, left, right):
-        import pyarrow as pa
-
-        out: list = []
-        if left.num_rows and right.num_rows:
-            ids, query_ids = np.asarray(left.column("id")), np.asarray(right.column("id"))
-            out, _ = search_block(ids, _matrix(left.column("v")), query_ids, _matrix(right.column("v")), hashes, k)
-        kinds = (("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()))
-        return pa.table({name: pa.array([r[i] for r in out], kind) for i, (name, kind) in enumerate(kinds)})
-
-    near = held.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInArrow(answer, "query_id long, vec_id long, score double")
+    questions = stage(rows.filter(is_query).distinct(), "queries")
+    schema_near = "query_id long, vec_id long, score double"
+
+    def nearest(asked: DataFrame, hashes: Hashes | None, groups: int) -> DataFrame:
+        def answer(key, left, right):
+            import pyarrow as pa
+
+            out: list = []
+            if left.num_rows and right.num_rows:
+                ids, query_ids = np.asarray(left.column("id")), np.asarray(right.column("id"))
+                out, _ = search_block(ids, _matrix(left.column("v")), query_ids, _matrix(right.column("v")), hashes, k)
+            kinds = (("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()))
+            return pa.table({name: pa.array([r[i] for r in out], kind) for i, (name, kind) in enumerate(kinds)})
+
+        held = few.select(dealt("id", blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "id", "v")
+        asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), dealt("id", groups, 2).alias("group"), "id", "v")
+        return held.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInArrow(answer, schema_near).distinct()
+
+    near = stage(nearest(questions, hashes, groups), "near")
+    counts = near.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n"))
+    enough = counts.filter(F.col("n") >= min(k, few.select("id").distinct().count() - 1))
+    short, n_short = stage_counted(questions.join(enough, questions["id"] == enough["query_id"], "left_anti"), "short")
+    if n_short:  # too few candidates in the buckets visited: all rows are looked at
+        near = near.union(nearest(short, None, -(-n_short // QUERY_ROWS))).distinct()
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = near.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

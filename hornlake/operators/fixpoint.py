@@ -205,10 +205,10 @@ class Inference:
                 levels = reduce(DataFrame.union, [s.select("subject", "object", F.lit(i).alias("level")) for i, s in enumerate(steps) if i])
                 first = levels.groupBy("subject", "object").agg(F.min("level").alias("level"))
                 new = first.join(whole(kind), ["subject", "object"], "left_anti")
-                path, rows, _ = storage.stage_counted(new.select("subject", "object", "level"), kind.__name__)
-                last = rows.where(F.col("level") == STEPS).select("subject", "object")
+                last = F.col("level") == STEPS
+                path, rows, count[kind] = storage.stage_counted(new.select("subject", "object", "level"), kind.__name__, last)
+                delta[kind] = rows.where(last).select("subject", "object")
                 total[kind].append(path)
-                delta[kind], count[kind] = last, last.count()
                 continue
             found = {kind: self._step(kind, group, delta, whole).join(whole(kind), ["subject", "object"], "left_anti").select("subject", "object") for kind in group}
             for kind, df in found.items():

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from itertools import groupby
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
@@ -68,12 +68,12 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> tuple[str, DataFrame
     return path, df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stage_counted(df: DataFrame, name: str) -> tuple[str, DataFrame, int]:
-    """stage(), and the number of rows, which the write itself counts."""
-    seen = Observation()
-    path, out = stage(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+def stage_counted(df: DataFrame, name: str, counted: Column | None = None) -> tuple[str, DataFrame, int]:
+    """stage(), and the number of rows, or of rows where `counted` holds, which the write itself counts."""
+    seen, what = Observation(), F.count(F.lit(1)) if counted is None else F.count_if(counted)
+    path, out = stage(df.observe(seen, what.alias("n")), name)
     n = seen.get.get("n")
-    return path, out, out.count() if n is None else n
+    return path, out, out.agg(what).first()[0] if n is None else n
 
 
 #: New or retracted rows of at most this number are broadcast to the stored ones.

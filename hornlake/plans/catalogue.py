@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..facts import Fact
-from ..rules import clauses, rule, rule_context
+from ..rules import Rule, clauses, get_rules, rule, rule_context
+from ..sources import storage
 from ..sources.entities import Bridge, Entity
-from ..terms import Q, Var
+from ..streaming import store_stream
+from ..terms import Q, Var, substitute_variables_in_q
+from .rewrite import fact_filters, optimize_query
 from .to_sql import to_sql
 
 
@@ -262,6 +265,50 @@ def _from_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(found, RegionMates)
 
 
+def _references_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored facts without those whose entities are not there."""
+    engine = world(spark, sf_dir)
+    engine.store_facts(NationIn(Nation(100), Region(1)), NationIn(Nation(3), Region(77)), NationIn(Nation(3), Region(2)))
+    return engine.check_references(NationIn)
+
+
+def _optimized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns rewritten so that every occurrence of a variable carries all its constraints, each then answered by itself."""
+    engine = world(spark, sf_dir)
+    patterns = optimize_query([CustomerIn(V("c", mktsegment="BUILDING"), V("n")), PlacedBy(V("o", totalprice__gt=400000), V("c", acctbal__gt=0))])
+    fixed = fact_filters(PlacedBy(Order(7), V("c")))[0]
+    parts = [engine.query(p, hydrate=False) for p in patterns]
+    return parts[0].join(parts[1], "c").where(F.col("o") != fixed["subject"])
+
+
+def _rule_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules as objects in a scope, one body of which is made with every operator; the scope inside the scope is gone."""
+    engine = world(spark, sf_dir)
+    either = [NationIn(V("a"), Region(0))] | (NationIn(V("a"), V("r")),) & NationIn(Nation(7), V("r")) | NationIn(V("a"), Region(2))
+    with rule_context(Rule(RegionMates(V("a"), V("a")), [NationIn(V("a"), Region(1))])):
+        rule(RegionMates(V("a"), V("a")), either)
+        with rule_context():
+            rule(RegionMates(V("a"), V("b")), (NationIn(V("a"), V("r")), NationIn(V("b"), V("r"))))
+        return engine.query(RegionMates(V("a"), V("b")), hydrate=False).withColumn("rules", F.lit(len(get_rules())))
+
+
+def _substituted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A constraint with a variable replaced by what it is bound to."""
+    q = substitute_variables_in_q(Q(nation__in=[Var("n"), Var("m")], acctbal__gt=Var("least")), {"n": Nation(3), "m": 5, "least": 100})
+    return world(spark, sf_dir).query(CustomerIn(Var("c", where=q), V("k")), hydrate=False)
+
+
+def _stored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that arrive as a stream, some of them twice."""
+    engine, at = world(spark, sf_dir), storage.new_dir(spark, "stream")
+    pairs = engine.stored(CustomerIn).where("object < 9")
+    pairs.union(pairs.where("object = 3")).write.parquet(f"{at}/in")
+    rows = spark.readStream.schema(pairs.schema).parquet(f"{at}/in")
+    own = Engine(spark)
+    store_stream(own, CustomerIn, rows, f"{at}/checkpoint", availableNow=True).awaitTermination()
+    return own.query(CustomerIn(V("c"), V("n")), hydrate=False)
+
+
 _TEXT_PATTERNS = [
     CustomerIn(V("c", nation__region__name__startswith="A"), V("n")),
     SupplierIn(Var("s", where=~Q(acctbal__lt=100) | Q(name__endswith="7")), V("n")),
@@ -379,6 +426,11 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "targeted_rules": (_targeted, "WITH RECURSIVE e AS (SELECT p_partkey // 2 AS a, p_partkey AS b FROM part), t AS (SELECT a, b FROM e UNION SELECT p_partkey + 10000000, p_partkey FROM part WHERE p_partkey < 10 UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT 'Ancestor' AS kind, a AS subject, b AS object FROM t"),
     "facts_from_list": (_from_list, "WITH RECURSIVE e AS (SELECT * FROM (VALUES (1, 1), (1, 2), (2, 1), (2, 2), (2, 9), (9, 8)) x(a, b)), t AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT 'RegionMates' AS kind, a::BIGINT AS subject, b::BIGINT AS object FROM t"),
     "sql_text": (_sql_text, f"SELECT DISTINCT {_C}, {_N}, s_suppkey AS s, n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE r_name LIKE 'A%' AND (s_acctbal >= 100 OR s_name LIKE '%7') AND EXISTS (SELECT 1 FROM customer x JOIN orders ON o_custkey = x.c_custkey WHERE x.c_nationkey = n_nationkey AND o_totalprice > 1000)"),
+    "references_checked": (_references_checked, "SELECT n_nationkey AS subject, n_regionkey AS object FROM nation UNION SELECT 3, 2"),
+    "optimized": (_optimized, f"SELECT {_C}, {_N}, o_orderkey AS o FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0 AND o_totalprice > 400000 AND o_orderkey <> 7"),
+    "rule_objects": (_rule_objects, "SELECT n_nationkey AS a, n_nationkey AS b, 4 AS rules FROM nation WHERE n_regionkey IN (0, 1, 2) OR n_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey = 7)"),
+    "substituted": (_substituted, "SELECT c_custkey AS c, c_nationkey AS k FROM customer WHERE c_nationkey IN (3, 5) AND c_acctbal > 100"),
+    "stored_stream": (_stored_stream, f"SELECT {_C}, {_N} FROM customer WHERE c_nationkey < 9"),
     "variable_names": (keys(CustomerIn(Var("Cust-Id"), Var("nation key")), NationIn(Var("nation key"), Region(2))), 'SELECT c_custkey AS "Cust-Id", c_nationkey AS "nation key" FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2'),
     "hydrate": (_hydrate, "SELECT c_custkey AS pk, c_name, c_acctbal, n_nationkey AS n_pk, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'"),
     "materialize": (_materialize, "SELECT 'CustomerInRegion' AS kind, c_custkey AS subject, n_regionkey::BIGINT AS object FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey < 2 UNION ALL SELECT 'RegionMates', x.n_nationkey::BIGINT, y.n_nationkey::BIGINT FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey WHERE x.n_regionkey < 2"),

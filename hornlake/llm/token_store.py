@@ -26,22 +26,30 @@ LEAST, MEAN, MOST, WINDOW = 64, 256, 1024, 8
 _TABLE = np.random.default_rng(20240711).integers(0, 2**63, 1 << 16, dtype=np.uint64)
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream, by a rolling hash of the last WINDOW ids."""
-    n = len(ids)
+def cut_points(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each of several id streams laid end to end, the streams' ends given.
+
+    A rolling hash of the last WINDOW ids marks them.  It runs over the whole row: a mark counts LEAST ids after the
+    chunk's begin at the earliest, and so never one whose window reaches into another stream.
+    """
     value = _TABLE[ids & 0xFFFF] ^ (ids >> 16).astype(np.uint64)
-    rolled = np.zeros(n, np.uint64)
-    for j in range(min(WINDOW, n)):
-        rolled[j:] += value[: n - j] * np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64))
-    marks = (np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(MEAN) == 0) + 1).tolist()
-    out, at = [], 0
-    for mark in [*marks, n]:
-        while mark - at > MOST:
-            at += MOST
-            out.append(at)
-        if mark - at >= LEAST or (mark == n and mark > at):
-            at = mark
-            out.append(at)
+    rolled = np.zeros(len(ids), np.uint64)
+    for j in range(min(WINDOW, len(ids))):
+        rolled[j:] += value[: len(ids) - j] * np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64))
+    marks = np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(MEAN) == 0) + 1
+    firsts = np.searchsorted(marks, ends, "right").tolist()
+    marks, out, at, k = marks.tolist(), [], 0, 0
+    for end, last in zip(ends.tolist(), firsts, strict=True):
+        own: list[int] = []
+        for mark in [*marks[k:last], end]:
+            while mark - at > MOST:
+                at += MOST
+                own.append(at)
+            if mark - at >= LEAST or mark == end > at:
+                at = mark
+                own.append(at)
+        out.append(own)
+        k = last
     return out
 
 
@@ -59,25 +67,40 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
+def _binary(data: bytes, ends: list[int] | np.ndarray):
+    """An Arrow array of byte strings that stand end to end in `data`."""
+    import pyarrow as pa
+
+    offsets = np.concatenate([[0], np.asarray(ends, np.int64)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def _chunked(docs: DataFrame, tokenizer: str, end_id: int, width: str) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encode = packed_encoder(tokenizer)
+        encode, last, size = packed_encoder(tokenizer), np.array([end_id], "<u4"), np.dtype(width).itemsize
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                sizes, roots, chunks = [], [], []
-                for text in part.column("text").to_pylist():
-                    ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
-                    ends = cut_points(ids)
-                    own = [ids[a:b].astype(width).tobytes() for a, b in zip([0, *ends], ends, strict=False)]
-                    digests = [digest_of(x) for x in own]
-                    sizes.append(len(ids))
-                    roots.append(merkle_root(digests))
-                    chunks.append([{"digest": d, "data": x} for d, x in zip(digests, own, strict=True)])
-                kind = pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())]))
-                yield pa.record_batch([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(roots, pa.binary()), pa.array(chunks, kind)], ["doc_id", "n_tokens", "root", "chunks"])
+                ids = [x for text in part.column("text").to_pylist() for x in (encode(text or ""), last)]
+                sizes = np.array([len(x) for x in ids], np.int64).reshape(-1, 2).sum(1)
+                ids = np.concatenate(ids)
+                cuts = cut_points(ids, np.cumsum(sizes))
+                data = ids.astype(width).tobytes()
+                view, digests, roots, at = memoryview(data), [], [], 0
+                for own in cuts:
+                    mine = []
+                    for end in own:
+                        mine.append(digest_of(view[at * size : end * size]))
+                        at = end
+                    digests += mine
+                    roots.append(merkle_root(mine))
+                chunks = pa.StructArray.from_arrays(
+                    [_binary(b"".join(digests), 16 * np.arange(1, len(digests) + 1)), _binary(data, size * np.array([e for own in cuts for e in own]))], ["digest", "data"]
+                )
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cuts)]), pa.int32()), chunks)
+                yield pa.record_batch([part.column("doc_id"), pa.array(sizes), pa.array(roots, pa.binary()), lists], ["doc_id", "n_tokens", "root", "chunks"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, root binary, chunks array<struct<digest:binary,data:binary>>")
 
@@ -124,9 +147,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKENIZER,
     width = "<u2" if max(vocabulary(tokenizer)["model"]["vocab"].values()) < 1 << 16 else "<u4"
     held = stage(_chunked(docs, tokenizer, end_id, width), "tokens")
     own = held.select(F.explode("chunks").alias("c")).select("c.digest", "c.data")
-    unique = own.groupBy("digest").agg(F.first("data").alias("data"), F.count(F.lit(1)).alias("n_refs"))
+    unique = own.groupBy("digest", "data").agg(F.count(F.lit(1)).alias("n_refs"))  # equal digests of different bytes give two rows
     size = 2 if width == "<u2" else 4
     unique.select("digest", "n_refs", F.lit(size).alias("id_bytes"), "data").write.option("compression", "zstd").parquet(f"{path}/chunks")
+    if not spark.read.parquet(f"{path}/chunks").groupBy("digest").count().filter("count > 1").isEmpty():
+        raise ValueError("two different chunks have the same digest")
     recipes = held.select("doc_id", "n_tokens", "root", F.col("chunks.digest").alias("digests"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = recipes.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.hash("root")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
@@ -197,18 +222,17 @@ def _crc_tables(bytes_by_length: int) -> np.ndarray:
     return np.array(out)
 
 
-def joined_crc(crcs: list[np.ndarray], lengths: list[np.ndarray], tables: np.ndarray) -> np.ndarray:
-    """The CRC-32 of each document's whole id stream from those of its chunks and their lengths in ids."""
-    n = np.array([len(x) for x in crcs])
-    state = np.array([x[0] if len(x) else 0 for x in crcs], np.uint32)
-    for k in range(1, n.max(initial=0)):
+def joined_crc(crc: np.ndarray, length: np.ndarray, n: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """The CRC-32 of each document's whole id stream from those of its `n` chunks and their lengths in ids, laid end to end."""
+    first = np.cumsum(n) - n
+    state = np.zeros(len(n), np.uint32)
+    for k in range(n.max(initial=0)):
         on = np.flatnonzero(n > k)
-        length = np.array([lengths[i][k] for i in on])
-        moved = np.zeros(len(on), np.uint32)
-        old = state[on]
-        for b in range(32):
-            moved ^= np.where((old >> np.uint32(b)) & np.uint32(1), tables[length, b], np.uint32(0))
-        state[on] = moved ^ np.array([crcs[i][k] for i in on], np.uint32)
+        at = first[on] + k
+        moved, old, step = np.zeros(len(on), np.uint32), state[on], length[at]
+        for b in range(32 if k else 0):
+            moved ^= np.where((old >> np.uint32(b)) & np.uint32(1), tables[step, b], np.uint32(0))
+        state[on] = moved ^ crc[at]
     return state
 
 
@@ -225,9 +249,9 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             crc, size = [], []
             for data, width in zip(batch.column("data").to_pylist(), batch.column("id_bytes").to_pylist(), strict=True):
-                ids = np.frombuffer(data, f"<u{width}").astype("<u4")
+                ids = np.frombuffer(data, f"<u{width}")
                 size.append(len(ids))
-                crc.append(zlib.crc32(ids.tobytes()))
+                crc.append(zlib.crc32(ids.astype("<u4")))
             yield pa.record_batch([batch.column("digest"), batch.column("n_refs"), pa.array(size, pa.int32()), pa.array(crc, pa.int64())], ["digest", "n_refs", "length", "crc"])
 
     chunks = read_chunks(spark, path).select("digest", "n_refs", "id_bytes", "data").mapInArrow(measured, "digest binary, n_refs long, length int, crc long")
@@ -244,13 +268,15 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                crcs, lengths = [], []
-                for n, root, parts in zip(part.column("n_tokens").to_pylist(), part.column("root").to_pylist(), part.column("parts").to_pylist(), strict=True):
-                    if merkle_root([p["digest"] for p in parts]) != root or any(p["length"] is None for p in parts) or sum(p["length"] for p in parts) != n:
-                        raise ValueError("a recipe does not match its Merkle root or its chunks")
-                    crcs.append(np.array([p["crc"] for p in parts], np.uint32))
-                    lengths.append(np.array([p["length"] for p in parts]))
-                crc = joined_crc(crcs, lengths, tables).astype(np.int64)
+                chunks = part.column("parts").flatten()
+                n = np.asarray(part.column("parts").value_lengths())
+                length, crc = (np.asarray(chunks.field(c).fill_null(-1)) for c in ("length", "crc"))
+                digests, ends = chunks.field("digest").to_pylist(), np.cumsum(n)
+                sums = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+                right = (length >= 0).all() and np.array_equal(sums[ends] - sums[ends - n], np.asarray(part.column("n_tokens")))
+                if not right or [merkle_root(digests[e - k : e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)] != part.column("root").to_pylist():
+                    raise ValueError("a recipe does not match its Merkle root or its chunks")
+                crc = joined_crc(crc.astype(np.uint32), length, n, tables).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return whole.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -22,8 +22,15 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 _NOT_SIMPLE = re.compile("\\s\\s|[^\\x00-\\x1b\\x20-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u024f]")
 
 
+#: Bytes that need the pattern's look (1C-1F, all leads but those of U+00C0 to U+023F) become 1C, white space becomes a space.
+_CLASSES = bytes(0x1C if 0x1C <= b <= 0x1F or b == 0xC2 or b >= 0xC9 else 0x20 if b in b" \t\n\x0b\x0c\r" else b for b in range(256))
+
+
 def is_simple(text: str, added: list[str]) -> bool:
-    return not _NOT_SIMPLE.search(text) and not any(x in text for x in added)
+    seen = text.encode().translate(_CLASSES)
+    if (b"\x1c" in seen or b"  " in seen) and _NOT_SIMPLE.search(text):
+        return False
+    return not any(x in text for x in added)
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:

@@ -153,6 +153,16 @@ def test_large_families_are_tested_whole(spark, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == true
 
 
+def test_short_texts_lose_no_link(spark):
+    rng, texts = random.Random(21), []
+    for n in range(8, 48):
+        words = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        texts += [" ".join(words[a : n - b] + [f"t{rng.randrange(9999)}"] * c) for a, b, c in [(0, 0, 0), (1, 0, 0), (0, 1, 1), (1, 1, 0), (0, 2, 1), (2, 2, 0)]]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 3, 85).collect()}
+    true = _true_components(texts, 3, 85)
+    assert [got[i] for i in range(len(texts))] == true and len(set(true)) < 0.8 * len(texts)
+
+
 @pytest.mark.parametrize("edges_a_task", [near_dedup.EDGES, 5])
 def test_components_of_chains(spark, monkeypatch, edges_a_task):
     monkeypatch.setattr(near_dedup, "EDGES", edges_a_task)

@@ -31,8 +31,8 @@ BINS, BANDS, ROWS = 128, 25, 5
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 #: Edges that one task joins into components.
 EDGES = 200_000
-#: Sketch agreement below threshold by so much can't come from a link but once in some million (5 sigma).
-SLACK = 0.16
+#: Sketch agreement below threshold by so many standard deviations can't come from a link but once in some million.
+SIGMAS = 5
 _SEED = np.random.default_rng(20240607)
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PROBES = np.argsort(_SEED.random((BINS, BINS)), axis=1)
@@ -218,9 +218,17 @@ def _close_in_size(a: str, b: str, percent: int) -> Column:
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
+def _least_agreement(n: np.ndarray, percent: int) -> np.ndarray:
+    """The share of bins that the sketches of a link agree in at least, by the size of the smaller set.
+
+    Bins that a small set leaves empty copy others, so only those it fills are samples.
+    """
+    p, filled = percent / 100, BINS * -np.expm1(-n / BINS)
+    return p - SIGMAS * np.sqrt(p * (1 - p) / filled)
+
+
 def _agreement(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sketches agree in enough bins to be a link."""
-    least = percent / 100 - SLACK
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -228,10 +236,10 @@ def _agreement(pairs: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             a = np.frombuffer(b"".join(batch.column("mins_a").to_pylist()), np.uint8).reshape(-1, BINS)
             b = np.frombuffer(b"".join(batch.column("mins_b").to_pylist()), np.uint8).reshape(-1, BINS)
-            good = (a == b).mean(axis=1) >= least
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            least = _least_agreement(np.minimum(np.asarray(batch.column("n_a")), np.asarray(batch.column("n_b"))), percent)
+            yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(axis=1) >= least))
 
-    return pairs.select("a", "b", "mins_a", "mins_b").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b", "mins_a", "mins_b", "n_a", "n_b").mapInArrow(run, "a binary, b binary")
 
 
 def _is_link(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
@@ -359,17 +367,18 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return stage(rows.join(hubs, "key"), "buckets")
 
 
-def _open(left: dict, right: dict, percent: int, band: int | None = None) -> np.ndarray:
+def _open(left: dict, right: dict, percent: int) -> np.ndarray:
     """[i, j]: whether left's i-th and right's j-th row can be a link, by size and sketch, of two components.
 
     A pair of rows that are both outside is taken once, and a pair only in the first band that the two share.
     """
-    agree = np.zeros((len(left["mins"]), len(right["mins"])), np.uint8)
-    for lo in range(0, len(agree), 128):
-        for a, b in zip(left["mins"][lo : lo + 128].T.copy(), right["mins"].T.copy(), strict=True):
-            agree[lo : lo + 128] += a[:, None] == b
     m, n = left["n"][:, None], right["n"]
-    out = (agree >= (percent / 100 - SLACK) * BINS) & (left["component"][:, None] != right["component"])
+    out = left["component"][:, None] != right["component"]
+    for lo in range(0, len(m), 128):
+        agree = np.zeros((len(m[lo : lo + 128]), len(n)), np.uint8)
+        for a, b in zip(left["mins"][lo : lo + 128].T.copy(), right["mins"].T.copy(), strict=True):
+            agree += a[:, None] == b
+        out[lo : lo + 128] &= agree >= _least_agreement(np.minimum(m[lo : lo + 128], n), percent) * BINS
     out &= (m * 100 >= n * percent) & (n * 100 >= m * percent) & (~left["outside"][:, None] | (left["node"][:, None] < right["node"]))
     for i in np.flatnonzero(out.any(1)):
         at = np.flatnonzero(out[i])

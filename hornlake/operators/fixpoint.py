@@ -17,9 +17,6 @@ from .compile import ClauseCompiler
 #: Rounds of a recursive group after which the engine gives up, by raising; None sets no bound.
 MAX_ROUNDS: int | None = None
 
-#: A delta of at most so many facts is taken so many steps further in one job: its cost is the job, not the data.
-SMALL_DELTA, STEPS = 100_000, 4
-
 
 def strongly_connected(graph: dict[type[Fact], set[type[Fact]]]) -> list[list[type[Fact]]]:
     """Groups of mutually dependent relations, dependencies first."""
@@ -172,8 +169,7 @@ class Inference:
         """Semi-naive evaluation.
 
         Each round's new facts are written once to the shared folder, so plans stay short and lost executors cost a read;
-        their number comes with the write.  A single relation whose clauses each have one recursive pattern goes several
-        steps in one job while its delta is small: facts first reached by the last step alone need to go on.
+        their number comes with the write.
         """
         compiler = self.compiler()
         delta, count, total = {}, {}, {}
@@ -191,25 +187,11 @@ class Inference:
             keep(kind, start)
         schema = {kind: delta[kind].schema for kind in group}
         whole = lambda kind: self.spark.read.schema(schema[kind]).parquet(*total[kind])
-        linear = len(group) == 1 and all(sum(type(a) in group for a in r.body) <= 1 for r in self.by_head[group[0]])
         rounds = 0
         while any(count.values()):
             if self.max_rounds is not None and rounds >= self.max_rounds:
                 raise RuntimeError(f"no fixpoint of {', '.join(k.__name__ for k in group)} after {self.max_rounds} rounds")
             rounds += 1
-            if linear and count[group[0]] <= SMALL_DELTA:
-                kind = group[0]
-                steps = [delta[kind]]
-                for _ in range(STEPS):
-                    steps.append(self._step(kind, group, {kind: steps[-1]}, whole))
-                levels = reduce(DataFrame.union, [s.select("subject", "object", F.lit(i).alias("level")) for i, s in enumerate(steps) if i])
-                first = levels.groupBy("subject", "object").agg(F.min("level").alias("level"))
-                new = first.join(whole(kind), ["subject", "object"], "left_anti")
-                last = F.col("level") == STEPS
-                path, rows, count[kind] = storage.stage_counted(new.select("subject", "object", "level"), kind.__name__, last)
-                delta[kind] = rows.where(last).select("subject", "object")
-                total[kind].append(path)
-                continue
             found = {kind: self._step(kind, group, delta, whole).join(whole(kind), ["subject", "object"], "left_anti").select("subject", "object") for kind in group}
             for kind, df in found.items():
                 keep(kind, df)

@@ -272,7 +272,7 @@ def _references_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.check_references(NationIn)
 
 
-def _optimized(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns rewritten so that every occurrence of a variable carries all its constraints, each then answered by itself."""
     engine = world(spark, sf_dir)
     patterns = optimize_query([CustomerIn(V("c", mktsegment="BUILDING"), V("n")), PlacedBy(V("o", totalprice__gt=400000), V("c", acctbal__gt=0))])
@@ -427,7 +427,7 @@ CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "facts_from_list": (_from_list, "WITH RECURSIVE e AS (SELECT * FROM (VALUES (1, 1), (1, 2), (2, 1), (2, 2), (2, 9), (9, 8)) x(a, b)), t AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT 'RegionMates' AS kind, a::BIGINT AS subject, b::BIGINT AS object FROM t"),
     "sql_text": (_sql_text, f"SELECT DISTINCT {_C}, {_N}, s_suppkey AS s, n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE r_name LIKE 'A%' AND (s_acctbal >= 100 OR s_name LIKE '%7') AND EXISTS (SELECT 1 FROM customer x JOIN orders ON o_custkey = x.c_custkey WHERE x.c_nationkey = n_nationkey AND o_totalprice > 1000)"),
     "references_checked": (_references_checked, "SELECT n_nationkey AS subject, n_regionkey AS object FROM nation UNION SELECT 3, 2"),
-    "optimized": (_optimized, f"SELECT {_C}, {_N}, o_orderkey AS o FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0 AND o_totalprice > 400000 AND o_orderkey <> 7"),
+    "rewritten": (_rewritten, f"SELECT {_C}, {_N}, o_orderkey AS o FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0 AND o_totalprice > 400000 AND o_orderkey <> 7"),
     "rule_objects": (_rule_objects, "SELECT n_nationkey AS a, n_nationkey AS b, 4 AS rules FROM nation WHERE n_regionkey IN (0, 1, 2) OR n_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey = 7)"),
     "substituted": (_substituted, "SELECT c_custkey AS c, c_nationkey AS k FROM customer WHERE c_nationkey IN (3, 5) AND c_acctbal > 100"),
     "stored_stream": (_stored_stream, f"SELECT {_C}, {_N} FROM customer WHERE c_nationkey < 9"),

@@ -374,3 +374,39 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("subject long, object long").parquet(str(tmp_path / "in"))
     store_stream(e, ParentOf, stream, str(tmp_path / "check"), availableNow=True).awaitTermination(60)
     assert rows(e.stored(ParentOf)) == [(1, 2), (2, 3)]
+
+
+@pytest.fixture(scope="module")
+def star(spark, tmp_path_factory):
+    """Few nations, each with many customers and suppliers."""
+    at = tmp_path_factory.mktemp("star")
+    tables = {
+        "region": (3, ["id r_regionkey", "'ASIA' r_name"]),
+        "nation": (5, ["id n_nationkey", "'A' n_name", "id % 3 n_regionkey"]),
+        "customer": (60, ["id c_custkey", "'C' c_name", "cast(id % 3 as int) c_nationkey", "1.0D c_acctbal", "if(id % 2 = 0, 'BUILDING', 'MACHINERY') c_mktsegment"]),
+        "supplier": (30, ["id s_suppkey", "'S' s_name", "id % 3 s_nationkey", "1.0D s_acctbal"]),
+        "orders": (60, ["id o_orderkey", "id o_custkey", "'F' o_orderstatus", "if(id % 4 = 1, 490000D, 1D) o_totalprice"]),
+    }
+    for name, (n, columns) in tables.items():
+        spark.range(n).selectExpr(*columns).write.parquet(str(at / f"{name}.parquet"))
+    return str(at)
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_keys_with_many_rows_are_dealt_in_blocks(spark, star, monkeypatch):
+    from hornlake.operators import spread
+    from hornlake.plans import catalogue
+
+    monkeypatch.setattr(spread, "PAIRS", 7)  # 20 customers and 10 suppliers of a nation are 200 pairs
+    got = catalogue.QUERIES["cross_eq"](spark, star)
+    assert rows(got) == sorted((s, s % 3, c, c % 3) for s in range(30) for c in range(60) if s % 3 == c % 3)
+    assert "RepartitionByExpression" in optimized(got)
+    left = spark.range(40).selectExpr("cast(if(id < 35, 1, id) as int) k", "id a")
+    right = spark.range(11).selectExpr("if(id < 9, 1L, id + 30) k", "id b")
+    joined = spread.spread_join(left, right, ["k"]).select("k", "a", "b")
+    assert rows(joined) == rows(left.join(right, "k").select("k", "a", "b")) and joined.count() == 35 * 9
+    blocks = spread.spread_join(left, right, ["k"]).selectExpr("spark_partition_id() p").distinct().count()
+    assert blocks > 5  # one key, yet many tasks

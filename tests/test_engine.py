@@ -418,3 +418,11 @@ def test_variable_across_a_reverse_relation_needs_no_product(spark, star):
     got = catalogue.QUERIES["where_reverse_var"](spark, star)
     assert rows(got) == sorted((s, s % 3, o, o) for s in range(30) for o in range(1, 60, 4) if s % 3 in (o % 3, 0))
     assert optimized(got).count("Join Cross") == 1  # the constant's branch, whose result is one
+
+
+def test_rule_whose_facts_cannot_repeat_has_no_distinct(spark, star):
+    from hornlake.plans import catalogue
+
+    got = catalogue.QUERIES["rule_body_where"](spark, star)
+    assert rows(got) == sorted((a, b) for a in range(0, 60, 2) for b in range(0, 60, 2) if a % 3 == b % 3)
+    assert not re.search(r"Aggregate \[a#\d+L?, b#|Aggregate \[v_a#\d+L?, v_b#", optimized(got)) and "Aggregate [subject" not in optimized(got)

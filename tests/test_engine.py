@@ -426,3 +426,11 @@ def test_rule_whose_facts_cannot_repeat_has_no_distinct(spark, star):
     got = catalogue.QUERIES["rule_body_where"](spark, star)
     assert rows(got) == sorted((a, b) for a in range(0, 60, 2) for b in range(0, 60, 2) if a % 3 == b % 3)
     assert not re.search(r"Aggregate \[a#\d+L?, b#|Aggregate \[v_a#\d+L?, v_b#", optimized(got)) and "Aggregate [subject" not in optimized(got)
+
+
+def test_body_variable_that_is_not_needed_multiplies_nothing(spark, star):
+    from hornlake.plans import catalogue
+
+    got = catalogue.QUERIES["rule_disjunction"](spark, star)
+    assert rows(got) == sorted({(c, c % 3) for c in range(60)} | {(s, s % 3) for s in range(30)})
+    assert "Join Inner" not in optimized(got) and "Join LeftSemi" in optimized(got)

@@ -434,3 +434,21 @@ def test_body_variable_that_is_not_needed_multiplies_nothing(spark, star):
     got = catalogue.QUERIES["rule_disjunction"](spark, star)
     assert rows(got) == sorted({(c, c % 3) for c in range(60)} | {(s, s % 3) for s in range(30)})
     assert "Join Inner" not in optimized(got) and "Join LeftSemi" in optimized(got)
+
+
+def test_links_with_several_variables_and_constants_are_disjoint(spark):
+    e, make = Engine(spark), spark.createDataFrame
+    e.entity(Company, make([(i,) for i in range(6)], "id long"))
+    e.entity(Department, make([(1, 1), (2, 2), (3, None)], "id long, company_id long"))
+    e.entity(Employee, make([(1, 1, 1), (2, 2, 2), (3, 2, 3), (4, None, 1), (5, 3, 1)], "id long, company_id long, department_id long"))
+    e.relation(MemberOf, make([(1, 1), (1, 2), (2, 2), (3, 3), (4, 1), (5, 1)], "subject long, object long"))
+    e.relation(WorksFor, make([(1, 1), (2, 1), (3, 2), (4, 3), (5, 3)], "subject long, object long"))
+    company = {1: 1, 2: 2, 3: 2, 4: None, 5: 3}
+    member, works = [(1, 1), (1, 2), (2, 2), (3, 3), (4, 1), (5, 1)], [(1, 1), (2, 1), (3, 2), (4, 3), (5, 3)]
+    q = Q(company__in=[Var("c"), Var("c2"), 3])
+    got = e.query(MemberOf(Var("e", where=q), Var("d")), WorksFor(Var("x"), Var("c")), WorksFor(Var("y"), Var("c2")), hydrate=False)
+    want = sorted((a, d, x, c, y, c2) for a, d in member for x, c in works for y, c2 in works if company[a] is not None and company[a] in (c, c2, 3))
+    assert rows(got.select("e", "d", "x", "c", "y", "c2")) == want
+    far = e.query(WorksFor(Var("x"), Var("c", where=Q(department__employee__in=[Var("e"), 5]))), MemberOf(Var("e"), Var("d")), hydrate=False)
+    reach = {1: {1, 4, 5}, 2: {2}}
+    assert rows(far.select("x", "c", "e", "d")) == sorted((x, c, a, d) for x, c in works for a, d in member if reach.get(c, set()) & {a, 5})

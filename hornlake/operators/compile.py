@@ -14,7 +14,7 @@ from ..facts import Fact, key_of
 from ..functions.predicates import Compiler, Path, Unbound, determines, linked, named
 from ..sources.entities import Entity
 from ..terms import Q, Var, extract_variable_references, has_variable_references
-from .spread import crossed, spread_join
+from .spread import crossed, distinct_rows, spread_join
 
 
 @dataclass
@@ -296,6 +296,9 @@ class ClauseCompiler:
             return None  # a ground axiom is the engine's to give
         df, unique = self.body(atoms, head)
         sides = [F.col(column_of(t.name)) if isinstance(t, Var) else F.lit(key_of(t)) for t in head.terms]
-        return df.select(sides[0].alias("subject"), sides[1].alias("object")), unique
+        df = df.select(sides[0].alias("subject"), sides[1].alias("object"))
+        if not unique and self.spread and len(atoms) > 1:  # a join's rows: as many tasks as its input asks for keep each one's table small
+            return distinct_rows(df), True
+        return df, unique
 
 

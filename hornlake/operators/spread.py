@@ -47,3 +47,15 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 def crossed(left: DataFrame, right: DataFrame) -> DataFrame:
     """A product whose sides are in enough partitions, whichever of them Spark sends to the other."""
     return left.repartition(_tasks(left)).crossJoin(right.repartition(_tasks(right)))
+
+
+#: Bytes of the largest table read for each task that makes a join's rows distinct.
+BYTES = 4 << 20
+
+
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """distinct() in a number of tasks that grows with the input, so the memory of one does not."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    largest = max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0)
+    wanted = largest // BYTES if largest < 1 << 50 else 0  # Spark's word for an unknown size is larger
+    return df.repartition(max(_tasks(df), min(wanted, 1 << 13)), *df.columns).distinct()

@@ -482,3 +482,12 @@ def test_recursion_that_looks_for_repeats_at_doubling_distances(spark, monkeypat
         assert rows(found) == sorted(closure(edges))
         if linear:
             assert "Aggregate" in physical(found)  # some rounds were not compared with the earlier ones
+
+
+def test_distinct_over_a_join_has_tasks_by_its_input(spark, tmp_path, monkeypatch):
+    from hornlake.operators import spread
+
+    monkeypatch.setattr(spread, "BYTES", 16)
+    spark.range(500).selectExpr("id % 7 a", "id % 3 b").write.parquet(str(tmp_path / "t"))
+    got = spread.distinct_rows(spark.read.parquet(str(tmp_path / "t")))
+    assert got.count() == 21 and int(re.search(r"hashpartitioning\(a.*?, (\d+)\)", physical(got)).group(1)) > spread._tasks(got)

@@ -491,3 +491,19 @@ def test_distinct_over_a_join_has_tasks_by_its_input(spark, tmp_path, monkeypatc
     spark.range(500).selectExpr("id % 7 a", "id % 3 b").write.parquet(str(tmp_path / "t"))
     got = spread.distinct_rows(spark.read.parquet(str(tmp_path / "t")))
     assert got.count() == 21 and int(re.search(r"hashpartitioning\(a.*?, (\d+)\)", physical(got)).group(1)) > spread._tasks(got)
+
+
+def partitions(df):
+    return int(re.search(r"hashpartitioning\(.*?, (\d+)\), REPARTITION_BY_NUM", physical(df)).group(1))
+
+
+def test_tasks_of_a_join_grow_with_its_pairs(spark, star, monkeypatch):
+    from hornlake.operators import spread
+    from hornlake.plans import catalogue
+
+    monkeypatch.setattr(spread, "PAIRS", 2)  # a region's one nation has 20 customers and 10 suppliers
+    got = catalogue.QUERIES["shared_constraint"](spark, star)
+    assert rows(got) == sorted((c, n, s) for c in range(60) for n in (2,) for s in range(30) if c % 3 == s % 3 == n)
+    assert partitions(got) == 200 > spread._tasks(got)
+    even = spread.spread_join(spark.range(300).selectExpr("id k", "1 a"), spark.range(300).selectExpr("id k", "2 b"), ["k"])
+    assert even.count() == 300 and partitions(even) == 300  # no key has several blocks

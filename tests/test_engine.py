@@ -507,3 +507,18 @@ def test_tasks_of_a_join_grow_with_its_pairs(spark, star, monkeypatch):
     assert partitions(got) == 200 > spread._tasks(got)
     even = spread.spread_join(spark.range(300).selectExpr("id k", "1 a"), spark.range(300).selectExpr("id k", "2 b"), ["k"])
     assert even.count() == 300 and partitions(even) == 300  # no key has several blocks
+
+
+def test_products_are_dealt_in_blocks(spark, star, monkeypatch):
+    from hornlake.operators import spread
+    from hornlake.plans import catalogue
+
+    monkeypatch.setattr(spread, "PAIRS", 2)
+    got = catalogue.QUERIES["cross_in_mixed"](spark, star)
+    assert rows(got) == sorted((s, s % 3, c, c % 3) for s in range(30) for c in range(1, 60, 2) if c % 3 == s % 3)
+    left, right = spark.range(40).selectExpr("id a"), spark.range(11).selectExpr("id % 10 b")
+    product = spread.crossed(left, right)
+    assert rows(product) == rows(left.crossJoin(right)) and "Join Cross" not in optimized(product)
+    assert partitions(product) == 440 and product.selectExpr("spark_partition_id() p").distinct().count() > spread._tasks(product)
+    one = spread.crossed(spark.range(1).select(), right)  # a side without columns, as a ground pattern's
+    assert rows(one) == rows(right)

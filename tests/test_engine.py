@@ -522,3 +522,13 @@ def test_products_are_dealt_in_blocks(spark, star, monkeypatch):
     assert partitions(product) == 440 and product.selectExpr("spark_partition_id() p").distinct().count() > spread._tasks(product)
     one = spread.crossed(spark.range(1).select(), right)  # a side without columns, as a ground pattern's
     assert rows(one) == rows(right)
+
+
+def test_constant_across_a_reverse_relation_is_dealt_in_blocks(spark, star, monkeypatch):
+    from hornlake.operators import spread
+    from hornlake.plans import catalogue
+
+    monkeypatch.setattr(spread, "PAIRS", 2)
+    got = catalogue.QUERIES["where_reverse_var"](spark, star)
+    assert rows(got) == sorted((s, s % 3, o, o) for s in range(30) for o in range(1, 60, 4) if s % 3 in (o % 3, 0))
+    assert not re.search(r"Join Cross|Join Inner\n", optimized(got))

@@ -532,3 +532,13 @@ def test_constant_across_a_reverse_relation_is_dealt_in_blocks(spark, star, monk
     got = catalogue.QUERIES["where_reverse_var"](spark, star)
     assert rows(got) == sorted((s, s % 3, o, o) for s in range(30) for o in range(1, 60, 4) if s % 3 in (o % 3, 0))
     assert not re.search(r"Join Cross|Join Inner\n", optimized(got))
+
+
+def test_tasks_of_a_rule_grow_with_its_facts(spark, star, monkeypatch):
+    from hornlake.operators import spread
+    from hornlake.plans import catalogue
+
+    monkeypatch.setattr(spread, "PAIRS", 2)  # 3 nations of 10 customers each: 300 pairs
+    got = catalogue.QUERIES["rule_body_where"](spark, star)
+    assert rows(got) == sorted((a, b) for a in range(0, 60, 2) for b in range(0, 60, 2) if a % 3 == b % 3)
+    assert partitions(got) == 300
